@@ -119,9 +119,9 @@ def tree_join(index: np.ndarray, probe: np.ndarray, radius: np.ndarray, metric:
     return np.concatenate(found_p), np.concatenate(found_i)
 
 
-def _choose_pivots(positions: DataFrame, names: list[str], rows: int, metric: str) -> Pivots | None:
+def _choose_pivots(positions: DataFrame, names: list[str], rows: int, metric: str, cell_rows: int = CELL_ROWS) -> Pivots | None:
     """Pivots from the distinct positions with the smallest hashes; a bounded sample that is the same in every run."""
-    wanted = min(MAX_PIVOTS, max(1, math.ceil(rows / CELL_ROWS)))
+    wanted = min(MAX_PIVOTS, max(1, math.ceil(rows / cell_rows)))
     hashed = positions.select(*names, F.xxhash64(*names).alias("_h"))
     # about four times as many as wanted pass the filter, whatever the size
     share = min(1.0, 4.0 * wanted / max(rows, 1))
