@@ -11,10 +11,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from urbanloom.operators.points import GROUND
 
-ALONG_ROW, ALONG_COLUMN = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+#: The lines that windows run along: the column that is fixed.
+ALONG_ROW, ALONG_COLUMN = "row", "col"
+
+
+def _along(line: str, back: bool = False) -> WindowSpec:
+    at = "col" if line == "row" else "row"
+    return Window.partitionBy(line).orderBy(F.desc(at) if back else at)
 
 
 @dataclass(frozen=True)
@@ -68,9 +75,9 @@ def rasterize(points: DataFrame, grid: Grid, ground_only: bool = True, per_unit:
     return grid.cells(points.sparkSession).join(mean, ["row", "col"], "left").select("row", "col", "value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def _beside(value: Column, window, step: int) -> Column:  # noqa: ANN001
+def _beside(value: Column, line: str, step: int) -> Column:
     """The value `step` cells on, the edge cell's own beyond the edge (symmetric for one step)."""
-    return F.coalesce((F.lead if step > 0 else F.lag)(value, abs(step)).over(window), value)
+    return F.coalesce((F.lead if step > 0 else F.lag)(value, abs(step)).over(_along(line)), value)
 
 
 def _sum3(cells: DataFrame, columns: list[str]) -> DataFrame:
@@ -102,30 +109,24 @@ def box_mean(cells: DataFrame, column: str, width: int) -> DataFrame:
     if width % 2 == 0 or width < 3:
         raise ValueError("the width must be odd and at least 3")
     half = width // 2
-    for line, window, at in (("row", ALONG_ROW, "col"), ("col", ALONG_COLUMN, "row")):
+    for line, at in (("row", "col"), ("col", "row")):
         value = F.col("_m" if line == "col" else column)
-        inner = F.sum(value).over(window.rowsBetween(-half, half))
+        inner = F.sum(value).over(_along(line).rowsBetween(-half, half))
         # mirrored cells: those within half of an edge count again, by how far the frame sticks out
         last = F.max(at).over(Window.partitionBy(line))
         low, high = half - F.col(at), F.col(at) + half - last
         mirror = F.lit(0.0)
         for k in range(half):
-            first, end = _edge(value, window, k, True), _edge(value, window, k, False)
+            first, end = _edge(value, line, k, False), _edge(value, line, k, True)
             mirror = mirror + F.when(low > k, first).otherwise(0.0) + F.when(high > k, end).otherwise(0.0)
         cells = cells.withColumn("_m", inner + mirror)
     return cells.withColumn(f"mean_{column}", F.col("_m") / (width * width)).drop("_m")
 
 
-def _edge(value: Column, window, k: int, first: bool) -> Column:  # noqa: ANN001
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    if first:
-        return F.nth_value(value, k + 1).over(whole)
-    return F.coalesce(F.nth_value(value, k + 1).over(_reversed(window)), value)
-
-
-def _reversed(window):  # noqa: ANN001, ANN202
-    line, at = ("row", "col") if window is ALONG_ROW else ("col", "row")
-    return Window.partitionBy(line).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _edge(value: Column, line: str, k: int, back: bool) -> Column:
+    """The k-th value of the line from its start, or from its end."""
+    whole = _along(line, back).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.nth_value(value, k + 1).over(whole)
 
 
 def tpi(cells: DataFrame, width: int = 3) -> DataFrame:

@@ -256,7 +256,7 @@ def _messages(ends: list, k: int) -> tuple[dict, dict]:
             alpha = np.array(e.tail).reshape(k, k).max(axis=0)
         carry = (e.last, e.last_level, (alpha - alpha.max()).tolist())
     later = None
-    for e, nxt in zip(reversed(ends), [None, *reversed(ends[1:])], strict=True):
+    for e, nxt in zip(reversed(ends), [None, *reversed(ends[1:])], strict=False):  # no partition at all: nothing
         if nxt is not None and nxt.first == e.last:
             score, head = np.array(nxt.head[:k]), np.array(nxt.head[k:]).reshape(k, k)
             beta = head.max(axis=1) if not (nxt.whole and later is not None) else (head + later[None, :]).max(axis=1)
