@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.functions import crs
+from urbanloom.functions import crs, names
 from urbanloom.functions import geometry as geo
 from urbanloom.operators import graphs, meshes, points, polygons, rasters, sensors
 from urbanloom.plans.tables import table, written
 from urbanloom.queries.clouds import _GRID, _OK, _dem, _points
 
 SIDES = ["xmin", "ymin", "xmax", "ymax"]
-#: Land-use codes of the survey and their classes.
-LANDUSE = {"STANDARD": "URBAN", "SMALL": "GRASS", "MEDIUM": "FOREST", "LARGE": "FARMLAND", "ECONOMY": "WATER"}
+#: The test table has no land-use codes; its part types stand for five of them, the sixth is unlisted.
+CODES = {"STANDARD": "BEBSLUT", "SMALL": "ÖPMARK", "MEDIUM": "SKOGSMARK", "LARGE": "ÅKERMARK", "ECONOMY": "VATTEN"}
 
 
 # boxes
@@ -269,9 +269,8 @@ def merge_meshes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def landuse_classes(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.create_map(*(F.lit(x) for pair in LANDUSE.items() for x in pair))
-    code = F.element_at(F.split("p_type", " "), 1)
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(F.try_element_at(names, code), F.lit("UNKNOWN")).alias("landuse"))
+    codes = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))
+    return table(spark, sf, "part").select("p_partkey", names.landuse_class(F.try_element_at(codes, F.col("p_type"))).alias("landuse"))
 
 
 # sensors
@@ -441,7 +440,7 @@ SQL = {
     "vertex_quantise": f"WITH {_V}, k AS (SELECT vid, round_even(x / 8, 0)::BIGINT AS x, round_even(y / 8, 0)::BIGINT AS y, round_even(z / 8, 0)::BIGINT AS z FROM v) SELECT vid, x, y, z, min(vid) OVER (PARTITION BY x, y, z) AS first FROM k",
     "mesh_layers": f"WITH {_V}, l AS (SELECT fid, v0 + k * n AS a, v1 + k * n AS b, v2 + k * n AS c, k, n FROM f, n, (VALUES (0), (1)) kk(k)) SELECT fid * 6 + k * 3 AS cid, a AS v0, b AS v1, c AS v2, c + n AS v3 FROM l UNION ALL SELECT fid * 6 + k * 3 + 1, a, b, b + n, c + n FROM l UNION ALL SELECT fid * 6 + k * 3 + 2, a, a + n, b + n, c + n FROM l",
     "merge_meshes": "WITH s AS (SELECT label % 2 AS m, count(*) AS n FROM embeddings GROUP BY 1), o AS (SELECT m, n, coalesce(sum(n) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v0, coalesce(sum(n - 2) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f0 FROM s), k AS (SELECT v0, f0, unnest(range(n - 2)) AS i FROM o) SELECT (f0 + i)::BIGINT AS fid, (v0 + i)::BIGINT AS v0, (v0 + i + 1)::BIGINT AS v1, (v0 + i + 2)::BIGINT AS v2 FROM k",
-    "landuse_classes": "SELECT p_partkey, CASE split_part(p_type, ' ', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANDUSE.items()) + " ELSE 'UNKNOWN' END AS landuse FROM part",
+    "landuse_classes": "SELECT p_partkey, CASE p_type " + " ".join(f"WHEN '{k}' THEN '{names.LANDUSE[v]}'" for k, v in CODES.items()) + " ELSE 'UNKNOWN' END AS landuse FROM part",
     "latest_observations": f"WITH l AS ({_LAST} AND lon BETWEEN {LON[0]} AND {LON[1]} AND lat BETWEEN {LAT[0]} AND {LAT[1]} GROUP BY 1, 2), k AS (SELECT station_id FROM l WHERE l.value IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT {STATIONS}) SELECT station_id, field, l.value AS value, l.unit AS unit, l.quality AS quality, strftime(l.ts, '%Y-%m-%d %H:%M:%S') AS ts FROM l WHERE station_id IN (SELECT station_id FROM k)",
     "all_latest": f"SELECT station_id, field, l.value AS value, l.quality AS quality FROM ({_LAST} GROUP BY 1, 2)",
     "sensor_summary": "SELECT field, count(DISTINCT station_id) AS stations, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 5) AS mean FROM (SELECT DISTINCT *, CASE WHEN isnan(value) THEN NULL ELSE value END AS v FROM observations) GROUP BY field",
