@@ -10,7 +10,7 @@ number of copies, by which it is sampled with a hash of its key.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanloom.llm.tokens import with_tokens
@@ -117,6 +117,5 @@ class Mixture:
         taken = self.chosen().groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("taken"))
         out = self.goals.join(there, "source", "left").join(taken, "source", "left")
         out = out.withColumns({"available": F.coalesce("available", F.lit(0)), "taken": F.coalesce("taken", F.lit(0))})
-        all_taken = taken.agg(F.sum("taken").alias("all_taken"))
-        out = out.join(F.broadcast(all_taken))  # one row
+        out = out.withColumn("all_taken", F.sum("taken").over(Window.partitionBy()))  # one row a source
         return out.select("source", "weight", "max_repeats", "available", "wanted", (F.col("available") * F.col("max_repeats") < F.col("wanted")).alias("falls_short"), "taken", (F.col("taken") / F.col("all_taken")).alias("actual_share"))
