@@ -29,7 +29,9 @@ def test_regions(spark):
     assert left == {(0, 0), (0, 1), (1, 0)}
     sides = cl.regions(cells.where("value IS NOT NULL"), 5, corners=False)
     assert sides.select("region").distinct().count() == 5
-    assert {(r.row, r.col) for r in cl.small_holes(cells, 5, 1).collect()} == {(3, 0)}
+    assert cl.small_holes(cells, 5, 1).count() == 0 and cl.small_holes(cells, 5, 20).count() == 12
+    ring = spark.createDataFrame([(r, c, None if (r, c) == (1, 1) else 1.0) for r in range(3) for c in range(3)], "row int, col int, value double")
+    assert {(r.row, r.col) for r in cl.small_holes(ring, 3, 1).collect()} == {(1, 1)}
 
 
 def test_rays(spark):
@@ -63,3 +65,59 @@ def test_entry_contract():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert {f"p{k}_found" for k in (2, 3, 4, 5)} <= set(entry.queries())
+
+
+def test_roofs(spark):
+    from urbanloom.operators import roofs
+
+    rng = np.random.default_rng(9)
+    flat = np.column_stack([rng.random(60) * 10, rng.random(60) * 10, np.zeros(60)])
+    rows = [("a", *map(float, p)) for p in flat] + [("a", 5.0, 5.0, 40.0)] + [("b", float(k), 0.0, 0.0) for k in range(4)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double")
+    assert (5.0, 5.0, 40.0) in {(r.x, r.y, r.z) for r in roofs.neighbour_outliers(df, "g").where("g = 'a'").collect()}
+    assert roofs.neighbour_outliers(df, "g").where("g = 'b'").count() == 0
+    n = roofs.normals(df.where("g = 'a' AND z = 0")).collect()
+    assert len(n) == 60 and all(r.nz == pytest.approx(1.0) for r in n)
+    off = roofs.best_plane(np.vstack([flat, [[1, 1, 9], [2, 2, -9]]]))
+    assert off.sum() == 2 and not roofs.best_plane(flat[:8]).any()
+
+
+def test_city_bundle(spark):
+    from urbanloom.plans import city
+
+    rng = np.random.default_rng(10)
+    at = rng.random((4000, 2)) * 40
+    inside = (np.abs(at[:, 0] - 20) < 5) & (np.abs(at[:, 1] - 20) < 5)
+    rows = [("c", k, float(x), float(y), 12.0 if i else 2.0, 6 if i else 2) for k, ((x, y), i) in enumerate(zip(at, inside, strict=True))]
+    cloud = spark.createDataFrame(rows, "cloud_id string, point_id bigint, x double, y double, z double, classification smallint")
+    square = [{"x": float(x), "y": float(y)} for x, y in ((15, 15), (15, 25), (25, 25), (25, 15))]
+    far = [{"x": p["x"] + 500, "y": p["y"]} for p in square]
+    prints = spark.createDataFrame([("b", square), ("far", far)], "building_id string, ring array<struct<x:double,y:double>>")
+    held = city.City().with_pointcloud(cloud, 0).with_footprints(prints, 10).build_terrain(5.0).remove_outside_terrain().build_lod1()
+    r = held.buildings.first()
+    assert held.buildings.count() == 1 and r.ground_height == pytest.approx(2) and r.height == pytest.approx(10) and len(r.lod1) == 6
+    rows = spark.createDataFrame([("c", None, "City", "{}"), ("b1", "c", "Building", '{"h": 3}'), ("b2", "c", "Building", None)], "object_id string, parent_id string, type string, attributes string")
+    assert city.objects(rows)["roots"].count() == 1 and city.objects(rows)["children"].where("parent_type = 'City'").count() == 2
+    assert {tuple(x) for x in city.child_attribute(rows, "Building", "h", "0").collect()} == {("b1", "3"), ("b2", "0")}
+    geometries = spark.createDataFrame([("b1", "MESH", "m1"), ("b2", "MESH", "m2"), ("c", "POINT", "p")], "object_id string, geometry_type string, geometry string")
+    assert city.flatten(rows, geometries, "MESH").where("object_id = 'c'").count() == 2
+
+
+def test_packages(spark, tmp_path):
+    import sqlite3
+    import struct
+
+    from urbanloom.sources import packages
+
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
+    body = struct.pack("<BIII", 1, 3, 1, 4) + b"".join(struct.pack("<2d", *p) for p in ring)
+    many = struct.pack("<BII", 1, 6, 2) + body + body
+    assert packages.decode_wkb(many) == [[ring], [ring]]
+    with sqlite3.connect(tmp_path / "a.gpkg") as db:
+        db.execute("CREATE TABLE prints (fid INTEGER PRIMARY KEY, geom BLOB)")
+        db.executemany("INSERT INTO prints VALUES (?, ?)", [(1, b"GP\x00\x01" + struct.pack("<i", 3006) + body), (2, b"GP\x00\x03" + struct.pack("<i4d", 3006, 0, 4, 0, 3) + many), (3, None)])
+    got = packages.read_gpkg_polygons(spark, str(tmp_path), "prints").collect()
+    assert sorted((r.fid, r.part, len(r.ring)) for r in got) == [(1, 0, 4), (2, 0, 4), (2, 1, 4)]
+    (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nelement face 1\nend_header\n0 0 0\n1 0 0\n0 1 0.5\n3 0 1 2\n")
+    v, f = packages.read_ply(spark, str(tmp_path / "a.ply"))
+    assert v.count() == 3 and tuple(f.first()) == (0, 0, 1, 2)

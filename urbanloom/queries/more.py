@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urbanloom.functions import geometry as geo
-from urbanloom.functions import names, solids
+from urbanloom.functions import names, planar, solids
 from urbanloom.operators import cells as cl
-from urbanloom.operators import nearby, points, sensors, trees
+from urbanloom.operators import nearby, points, polygons, roofs, sensors, trees
 from urbanloom.operators import rasters as rs
 from urbanloom.operators.graphs import connected_components
 from urbanloom.plans import registry
 from urbanloom.plans.tables import table, written
-from urbanloom.queries.city import _B, _PD, _V, _boxes, _components, _mesh
+from urbanloom.queries.city import _B, _F, _INSIDE, _PD, _V, _boxes, _components, _footprints, _mesh
 from urbanloom.queries.clouds import _GRID, _OK, BOX, CELL, _dem, _points
 
 
@@ -37,11 +37,11 @@ def small_holes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def smooth_raster(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.smooth(_dem(spark, sf)[0]).select("row", "col", F.round("value", 4).alias("value"))
+    return cl.smooth(_dem(spark, sf)[0]).select("row", "col", F.round("value", 6).alias("value"))
 
 
 def blur_raster(spark: SparkSession, sf: str) -> DataFrame:
-    return cl.binomial(_dem(spark, sf)[0]).select("row", "col", F.round("value", 5).alias("value"))
+    return cl.binomial(_dem(spark, sf)[0]).select("row", "col", F.round("value", 8).alias("value"))
 
 
 def terrain_mesh(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,6 +169,44 @@ def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     return wanted.join(spread, ["tx", "ty"]).where("xmin <= x - 2.5 AND ymin <= y - 2.5 AND xmax >= x + 2.5 AND ymax >= y + 2.5").select("request", "bounds_id")
 
 
+def roof_outliers(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions of building-class points inside a footprint that lie far from their five neighbours there."""
+    inside = polygons.points_in_polygons(_points(spark, sf).where("classification = 6 AND z IS NOT NULL AND NOT isnan(z)"), _footprints(spark, sf), "building_id")
+    return roofs.neighbour_outliers(inside, "building_id").select("building_id", "x", "y", "z")
+
+
+def vegetation_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of the 5 m tiles that a box meets which hold a vegetation point inside the box."""
+    boxes = _boxes(spark, sf)
+    tiles = boxes.select("bounds_id", F.inline(geo.tiles_of(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), 5.0)))
+    ring = geo.ring_of((F.col("xmax"), F.col("ymax")), (F.col("xmin"), F.col("ymax")), (F.col("xmin"), F.col("ymin")), (F.col("xmax"), F.col("ymin")))
+    green = _points(spark, sf).where("classification IN (3, 4, 5)")
+    held = polygons.points_in_polygons(green, boxes.select("bounds_id", geo.translate(ring, 0.00037, 0.00037).alias("ring")), "bounds_id")
+    return roofs.coverage(held, "bounds_id", tiles, 5.0).select("bounds_id", F.round("coverage", 8).alias("coverage"))
+
+
+def clip_to_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The area of every box in each 50 m tile, by clipping its ring."""
+    boxes = _boxes(spark, sf).select("bounds_id", "xmin", "ymin", "xmax", "ymax", F.inline(geo.tiles_of(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), 50.0)))
+    moved = lambda c, t: F.col(c) - F.col(t) * 50.0
+    x0, y0, x1, y1 = moved("xmin", "tx"), moved("ymin", "ty"), moved("xmax", "tx"), moved("ymax", "ty")
+    part = planar.clipped(geo.ring_of((x1, y1), (x0, y1), (x0, y0), (x1, y0)), 0.0, 0.0, 50.0, 50.0)
+    return boxes.withColumn("part", part).select("bounds_id", "tx", "ty", F.round(geo.area(F.col("part")), 3).alias("area"))
+
+
+def mesh_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """The footprint (last by name) that holds the centre of every terrain triangle, else -1 beside one that does, else -2."""
+    cells, grid = _dem(spark, sf)
+    faces = written(cl.grid_triangles(grid.rows, grid.cols, cells), "faces")
+    x, y = (lambda v: grid.x(F.col(v) % grid.cols)), (lambda v: grid.y(F.floor(F.col(v) / grid.cols)))
+    centres = faces.select("fid", ((x("v0") + x("v1") + x("v2")) / 3).alias("x"), ((y("v0") + y("v1") + y("v2")) / 3).alias("y"))
+    inside = polygons.points_in_polygons(centres, _footprints(spark, sf), "building_id").groupBy("fid").agg(F.max(F.substring("building_id", 2, 10).cast("int")).alias("building"))
+    corners = faces.select("fid", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+    halo = corners.join(inside, "fid").select("v").distinct()
+    beside = corners.join(halo, "v", "left_semi").select("fid").distinct().withColumn("_beside", F.lit(-1))
+    return faces.join(inside, "fid", "left").join(beside, "fid", "left").select("fid", F.coalesce("building", "_beside", F.lit(-2)).alias("marker"))
+
+
 @dataclass(frozen=True)
 class CloudArguments:
     """Arguments of the point-cloud dataset."""
@@ -212,7 +250,7 @@ def dataset_weather(spark: SparkSession, sf: str) -> DataFrame:
     return registry.get("weather")(spark, folder=sf, bounds=(12.0, 56.0, 22.0, 64.0)).select("station_id", "field", "value")
 
 
-_ALL = (remove_small_masks, small_holes, smooth_raster, blur_raster, terrain_mesh, flat_terrain, mosaic_max, snap_trees, tree_nms, ray_roofs, edge_connections, boundary_vertices, mesh_to_origin, transform_points, sphere_mesh, cylinder_mesh, cone_mesh, resolve_parameters, geometry_types, air_quality_latest, last_quality, daily_means, cache_hits, dataset_point_cloud, dataset_weather)
+_ALL = (remove_small_masks, small_holes, smooth_raster, blur_raster, terrain_mesh, flat_terrain, mosaic_max, snap_trees, tree_nms, ray_roofs, edge_connections, boundary_vertices, mesh_to_origin, transform_points, sphere_mesh, cylinder_mesh, cone_mesh, resolve_parameters, geometry_types, air_quality_latest, last_quality, daily_means, cache_hits, dataset_point_cloud, dataset_weather, roof_outliers, vegetation_coverage, clip_to_tiles, mesh_markers)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CASE = lambda kind: "CASE field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.PARAMETERS[kind].items()) + " END"
@@ -228,8 +266,8 @@ _REGION = lambda which, corners: f"""h AS (SELECT "row" * 1000000 + col AS k, "r
 SQL = {
     "remove_small_masks": f"""WITH RECURSIVE {_GRID}, {_REGION("NOT NULL", True)} SELECT c."row", c.col, CASE WHEN n.n > 3 THEN value END AS value FROM cells c LEFT JOIN cc ON cc.node = c."row" * 1000000 + c.col LEFT JOIN n ON n.component = cc.component""",
     "small_holes": f"""WITH RECURSIVE {_GRID}, {_REGION("NULL", False)} SELECT (node // 1000000)::INT AS "row", (node % 1000000)::INT AS col FROM cc JOIN n USING (component) WHERE n <= 4""",
-    "smooth_raster": _stencil([(-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1)], 4, 4),
-    "blur_raster": _stencil([(i, j, (2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)], 16, 5),
+    "smooth_raster": _stencil([(-1, 0, 1), (1, 0, 1), (0, -1, 1), (0, 1, 1)], 4, 6),
+    "blur_raster": _stencil([(i, j, (2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)], 16, 8),
     "terrain_mesh": f"""WITH {_GRID}, mx AS (SELECT max("row") AS mr, max(col) AS mc FROM d), q AS (SELECT "row"::BIGINT * (mc + 1) + col AS q, mc + 1 AS w FROM d, mx WHERE "row" < mr AND col < mc) SELECT q * 2 AS fid, q AS v0, q + w AS v1, q + 1 AS v2 FROM q UNION ALL SELECT q * 2 + 1, q + 1, q + w, q + w + 1 FROM q""",
     "flat_terrain": "SELECT min(z) AS value, min(x) AS west, max(y) FILTER (NOT isnan(y)) AS north FROM points WHERE z IS NOT NULL AND NOT isnan(z)",
     "mosaic_max": f"""WITH {_GRID}, t AS (SELECT cloud_id, floor((n * {CELL} - y) / {CELL})::INT AS "row", floor((x - w * {CELL}) / {CELL})::INT AS col, max(z) AS z FROM p, g WHERE {_OK} AND z IS NOT NULL AND NOT isnan(z) GROUP BY 1, 2, 3) SELECT "row", col, min(z) AS value FROM t GROUP BY 1, 2""",
@@ -250,4 +288,18 @@ SQL = {
     "cache_hits": f"WITH {_B} SELECT l.bounds_id AS request, r.bounds_id FROM b l JOIN b r ON r.xmin <= (l.xmin + l.xmax) / 2 - 2.5 AND r.ymin <= (l.ymin + l.ymax) / 2 - 2.5 AND r.xmax >= (l.xmin + l.xmax) / 2 + 2.5 AND r.ymax >= (l.ymin + l.ymax) / 2 + 2.5",
     "dataset_point_cloud": f"WITH p AS (SELECT * FROM points WHERE x BETWEEN {BOX.xmin} AND {BOX.xmax} AND y BETWEEN {BOX.ymin} AND {BOX.ymax} AND classification IN (3, 4, 5, 7) AND z IS NOT NULL AND NOT isnan(z)) SELECT cloud_id, point_id FROM p JOIN (SELECT cloud_id, avg(z) AS m, stddev_pop(z) AS s FROM p GROUP BY 1) USING (cloud_id) WHERE NOT abs(z - m) > 3 * s",
     "dataset_weather": "WITH l AS (SELECT station_id, field, arg_max(struct_pack(value := CASE WHEN isnan(value) THEN NULL ELSE value END), struct_pack(a := ts, b := obs_id)) AS l FROM observations WHERE ts IS NOT NULL AND lon BETWEEN 12 AND 22 AND lat BETWEEN 56 AND 64 AND field IN ('air_temperature', 'wind_speed') GROUP BY 1, 2), k AS (SELECT station_id FROM l WHERE l.value IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 20) SELECT station_id, field, l.value AS value FROM l WHERE station_id IN (SELECT station_id FROM k)",
+    "roof_outliers": f"""WITH {_F}, {_PD}, h AS (SELECT DISTINCT building_id, x, y, z FROM pd JOIN f ON {_INSIDE} WHERE classification = 6 AND z IS NOT NULL AND NOT isnan(z)),
+      k AS (SELECT a.building_id, a.x, a.y, a.z, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dd, row_number() OVER (PARTITION BY a.building_id, a.x, a.y, a.z ORDER BY pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS rk FROM h a JOIN h b ON a.building_id = b.building_id AND (a.x != b.x OR a.y != b.y OR a.z != b.z)),
+      m AS (SELECT building_id, x, y, z, avg(dd) AS m FROM k WHERE rk <= 5 GROUP BY 1, 2, 3, 4 HAVING count(*) = 5), l AS (SELECT building_id, avg(m) + 1.5 * stddev_samp(m) AS l FROM m GROUP BY 1)
+      SELECT building_id, x, y, z FROM m JOIN l USING (building_id) WHERE m > l""",
+    "vegetation_coverage": f"""WITH {_B}, {_PD}, t AS (SELECT bounds_id, tx, unnest(range(floor(ymin / 5)::BIGINT, floor(ymax / 5)::BIGINT + 1)) AS ty FROM (SELECT *, unnest(range(floor(xmin / 5)::BIGINT, floor(xmax / 5)::BIGINT + 1)) AS tx FROM b)),
+      h AS (SELECT DISTINCT bounds_id, floor(x / 5)::BIGINT AS tx, floor(y / 5)::BIGINT AS ty FROM pd JOIN b ON x > xmin + 0.00037 AND x < xmax + 0.00037 AND y > ymin + 0.00037 AND y < ymax + 0.00037 WHERE classification IN (3, 4, 5))
+      SELECT t.bounds_id, round(count(h.tx) / count(*), 8) AS coverage FROM t LEFT JOIN h ON h.bounds_id = t.bounds_id AND h.tx = t.tx AND h.ty = t.ty GROUP BY 1""",
+    "clip_to_tiles": f"""WITH {_B}, t AS (SELECT *, unnest(range(floor(ymin / 50)::BIGINT, floor(ymax / 50)::BIGINT + 1)) AS ty FROM (SELECT *, unnest(range(floor(xmin / 50)::BIGINT, floor(xmax / 50)::BIGINT + 1)) AS tx FROM b))
+      SELECT bounds_id, tx, ty, round((least(xmax - tx * 50, 50) - greatest(xmin - tx * 50, 0)) * (least(ymax - ty * 50, 50) - greatest(ymin - ty * 50, 0)), 3) AS area FROM t""",
+    "mesh_markers": f"""WITH {_GRID}, {_F.replace(", f AS", ", fp AS")}, mx AS (SELECT max("row") AS mr, max(col) AS mc FROM d), q AS (SELECT "row"::BIGINT * (mc + 1) + col AS q, mc + 1 AS w FROM d, mx WHERE "row" < mr AND col < mc),
+      fc AS (SELECT q * 2 AS fid, q AS v0, q + w AS v1, q + 1 AS v2, w FROM q UNION ALL SELECT q * 2 + 1, q + 1, q + w, q + w + 1, w FROM q),
+      ct AS (SELECT fid, g.w * {CELL} + {CELL} * ((v0 % fc.w + v1 % fc.w + v2 % fc.w) / 3.0 + 0.5) AS x, g.n * {CELL} - {CELL} * ((v0 // fc.w + v1 // fc.w + v2 // fc.w) / 3.0 + 0.5) AS y FROM fc, g),
+      i AS (SELECT fid, max(substring(building_id, 2, 10)::INT) AS building FROM ct JOIN fp ON {_INSIDE} GROUP BY 1), co AS (SELECT fid, unnest([v0, v1, v2]) AS v FROM fc), ha AS (SELECT DISTINCT v FROM co JOIN i USING (fid)), be AS (SELECT DISTINCT fid FROM co JOIN ha USING (v))
+      SELECT fc.fid, coalesce(building, CASE WHEN be.fid IS NOT NULL THEN -1 ELSE -2 END) AS marker FROM fc LEFT JOIN i USING (fid) LEFT JOIN be USING (fid)""",
 }
