@@ -121,3 +121,18 @@ def test_packages(spark, tmp_path):
     (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nelement face 1\nend_header\n0 0 0\n1 0 0\n0 1 0.5\n3 0 1 2\n")
     v, f = packages.read_ply(spark, str(tmp_path / "a.ply"))
     assert v.count() == 3 and tuple(f.first()) == (0, 0, 1, 2)
+
+
+def test_solids_close(spark):
+    from urbanloom.functions import geometry as geo
+    from urbanloom.operators import meshes
+    from urbanloom.operators.graphs import naked_edges
+
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 1.0), (1, 1.0, 0.0, 1.0), (2, 0.0, 1.0, 1.0), (3, 1.0, 1.0, 2.0)], "vid bigint, x double, y double, z double")
+    faces = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 3, 2)], "fid bigint, v0 bigint, v1 bigint, v2 bigint")
+    v, f = meshes.solid(vertices, faces, 0.0, 4)
+    assert v.count() == 8 and f.count() == 12 and naked_edges(f).count() == 0
+    assert meshes.open_boundary(f, v, "z", 0.0).count() == 10
+    line = spark.createDataFrame([([{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 4.0}, {"x": 3.0, "y": 4.0}, {"x": 3.0, "y": 9.0}],)], "line array<struct<x:double,y:double>>")
+    got = line.select(F.transform(geo.road_surfaces(F.col("line"), 2.0), geo.area).alias("a")).first().a
+    assert got == pytest.approx([10.0, 10.0])

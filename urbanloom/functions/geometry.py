@@ -145,3 +145,14 @@ def tiles_of(xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float
     at = lambda c: F.floor(c / size).cast("bigint")
     across = F.sequence(at(xmin), at(xmax))
     return F.flatten(F.transform(across, lambda tx: F.transform(F.sequence(at(ymin), at(ymax)), lambda ty: F.struct(tx.alias("tx"), ty.alias("ty")))))
+
+
+def road_surfaces(line: Column, width: float) -> Column:
+    """A quad of `width` along every segment of a line (flat ends), as rings; segments without length have none."""
+    steps = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), lambda p, q: F.struct(p.alias("p"), q.alias("q"), F.sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)).alias("d")))
+
+    def quad(s: Column) -> Column:
+        nx, ny = (s.p.y - s.q.y) / s.d * (width / 2), (s.q.x - s.p.x) / s.d * (width / 2)
+        return F.array(point(s.p.x - nx, s.p.y - ny), point(s.q.x - nx, s.q.y - ny), point(s.q.x + nx, s.q.y + ny), point(s.p.x + nx, s.p.y + ny))
+
+    return F.transform(F.filter(steps, lambda s: s.d > 0), quad)

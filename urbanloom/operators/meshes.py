@@ -137,3 +137,29 @@ def quantise(vertices: DataFrame, scale: float) -> DataFrame:
     at = vertices.select("vid", *(F.rint(F.col(k) / scale).cast("bigint").alias(k) for k in "xyz"))
     seen = at.groupBy("x", "y", "z").agg(F.min("vid").alias("first"))
     return at.join(seen, ["x", "y", "z"]).select("vid", "x", "y", "z", "first")
+
+
+def solid(vertices: DataFrame, faces: DataFrame, base: float, vertices_above: int) -> tuple[DataFrame, DataFrame]:
+    """A surface closed to a solid: a flat bottom at z = `base` and walls along its open edges.
+
+    The bottom vertex of v is v + `vertices_above`. Walls keep the orientation of
+    the faces above. The faces have no numbers of their own.
+    """
+    directed = F.array(*(F.struct(F.col(p).alias("a"), F.col(q).alias("b"), F.least(p, q).alias("l"), F.greatest(p, q).alias("h")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))))
+    sides = faces.select(F.inline(directed))
+    rim = sides.groupBy("l", "h").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")).where("n = 1")
+    low = lambda c: F.col(c) + vertices_above
+    three = lambda *t: F.struct(*(c.alias(f"v{k}") for k, c in enumerate(t)))
+    walls = rim.select(F.inline(F.array(three(F.col("b"), F.col("a"), low("a")), three(F.col("b"), low("a"), low("b")))))
+    bottom = faces.select(low("v0").alias("v0"), low("v2").alias("v1"), low("v1").alias("v2"))
+    under = vertices.select((F.col("vid") + vertices_above).alias("vid"), "x", "y", F.lit(float(base)).alias("z"))
+    return vertices.select("vid", "x", "y", "z").union(under), faces.select("v0", "v1", "v2").union(bottom).union(walls)
+
+
+def open_boundary(faces: DataFrame, vertices: DataFrame, axis: str, at: float, tolerance: float = 1e-3) -> DataFrame:
+    """The faces that don't lie whole on the plane `axis` = `at`."""
+    on = vertices.where(F.abs(F.col(axis) - at) <= tolerance).select("vid")
+    held = faces
+    for c in ("v0", "v1", "v2"):
+        held = held.join(on.select(F.col("vid").alias(c), F.lit(1).alias(f"_{c}")), c, "left")
+    return held.where("_v0 IS NULL OR _v1 IS NULL OR _v2 IS NULL").select(*faces.columns)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import geometry as geo
 from urbanloom.functions import names, planar, solids
 from urbanloom.operators import cells as cl
-from urbanloom.operators import nearby, points, polygons, roofs, sensors, trees
+from urbanloom.operators import meshes, nearby, points, polygons, roofs, sensors, trees
 from urbanloom.operators import rasters as rs
 from urbanloom.operators.graphs import connected_components
 from urbanloom.plans import registry
@@ -207,6 +207,14 @@ def mesh_markers(spark: SparkSession, sf: str) -> DataFrame:
     return faces.join(inside, "fid", "left").join(beside, "fid", "left").select("fid", F.coalesce("building", "_beside", F.lit(-2)).alias("marker"))
 
 
+def printable_mesh(spark: SparkSession, sf: str) -> DataFrame:
+    """The terrain mesh closed to a solid."""
+    cells, grid = _dem(spark, sf)
+    faces = cl.grid_triangles(grid.rows, grid.cols, cells)
+    vertices = cells.select((F.col("row").cast("bigint") * grid.cols + F.col("col")).alias("vid"), grid.x(F.col("col")).alias("x"), grid.y(F.col("row")).alias("y"), F.col("value").alias("z"))
+    return meshes.solid(vertices, faces, -10.0, grid.rows * grid.cols)[1]
+
+
 @dataclass(frozen=True)
 class CloudArguments:
     """Arguments of the point-cloud dataset."""
@@ -250,7 +258,7 @@ def dataset_weather(spark: SparkSession, sf: str) -> DataFrame:
     return registry.get("weather")(spark, folder=sf, bounds=(12.0, 56.0, 22.0, 64.0)).select("station_id", "field", "value")
 
 
-_ALL = (remove_small_masks, small_holes, smooth_raster, blur_raster, terrain_mesh, flat_terrain, mosaic_max, snap_trees, tree_nms, ray_roofs, edge_connections, boundary_vertices, mesh_to_origin, transform_points, sphere_mesh, cylinder_mesh, cone_mesh, resolve_parameters, geometry_types, air_quality_latest, last_quality, daily_means, cache_hits, dataset_point_cloud, dataset_weather, roof_outliers, vegetation_coverage, clip_to_tiles, mesh_markers)
+_ALL = (remove_small_masks, small_holes, smooth_raster, blur_raster, terrain_mesh, flat_terrain, mosaic_max, snap_trees, tree_nms, ray_roofs, edge_connections, boundary_vertices, mesh_to_origin, transform_points, sphere_mesh, cylinder_mesh, cone_mesh, resolve_parameters, geometry_types, air_quality_latest, last_quality, daily_means, cache_hits, dataset_point_cloud, dataset_weather, roof_outliers, vegetation_coverage, clip_to_tiles, mesh_markers, printable_mesh)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _CASE = lambda kind: "CASE field " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in names.PARAMETERS[kind].items()) + " END"
@@ -302,4 +310,8 @@ SQL = {
       ct AS (SELECT fid, g.w * {CELL} + {CELL} * ((v0 % fc.w + v1 % fc.w + v2 % fc.w) / 3.0 + 0.5) AS x, g.n * {CELL} - {CELL} * ((v0 // fc.w + v1 // fc.w + v2 // fc.w) / 3.0 + 0.5) AS y FROM fc, g),
       i AS (SELECT fid, max(substring(building_id, 2, 10)::INT) AS building FROM ct JOIN fp ON {_INSIDE} GROUP BY 1), co AS (SELECT fid, unnest([v0, v1, v2]) AS v FROM fc), ha AS (SELECT DISTINCT v FROM co JOIN i USING (fid)), be AS (SELECT DISTINCT fid FROM co JOIN ha USING (v))
       SELECT fc.fid, coalesce(building, CASE WHEN be.fid IS NOT NULL THEN -1 ELSE -2 END) AS marker FROM fc LEFT JOIN i USING (fid) LEFT JOIN be USING (fid)""",
+    "printable_mesh": f"""WITH {_GRID}, mx AS (SELECT max("row") AS mr, max(col) AS mc FROM d), q AS (SELECT "row"::BIGINT * (mc + 1) + col AS q, mc + 1 AS w, (mr + 1) * (mc + 1) AS n FROM d, mx WHERE "row" < mr AND col < mc),
+      fc AS (SELECT q AS v0, q + w AS v1, q + 1 AS v2, n FROM q UNION ALL SELECT q + 1, q + w, q + w + 1, n FROM q), s AS (SELECT v0 AS a, v1 AS b, n FROM fc UNION ALL SELECT v1, v2, n FROM fc UNION ALL SELECT v2, v0, n FROM fc),
+      r AS (SELECT any_value(a) AS a, any_value(b) AS b, any_value(n) AS n FROM s GROUP BY least(a, b), greatest(a, b) HAVING count(*) = 1)
+      SELECT v0, v1, v2 FROM fc UNION ALL SELECT v0 + n, v2 + n, v1 + n FROM fc UNION ALL SELECT b, a, a + n FROM r UNION ALL SELECT b, a + n, b + n FROM r""",
 }
