@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.functions.unitnames import phrases, unit_code
-from urbanloom.plans.tables import checkpointed, pinned
+from urbanloom.plans.tables import checkpointed, pinned, written
 
 NEVER = -1e9
 #: Log-score of one unit of log-level change, of a switch, and of a unit that isn't the common one.
 JUMP, SWITCH, UNCOMMON = 4.0, 4.0, 1.0
-ROWS_A_PARTITION = 200_000
+ROWS_A_PARTITION = 50_000
 #: Rows scanned at once.
 BLOCK = 8192
 
@@ -144,7 +144,8 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
     kept = observations.select("obs_id", "station_id", "field", "value", "unit", "description", F.coalesce("ts", "received_at").alias("at")).where("value IS NOT NULL AND NOT isnan(value)").distinct()
     known = UnitTable(units)
     common = units.select(F.col("field").alias("_f"), F.col("unit_code").alias("_u"), "factor", "shift", "is_common")
-    named = stated_units(kept).drop("unit", "description")
+    # names are read once; both the scales and the chain start from the written table
+    named = written(stated_units(kept).drop("unit", "description"), "stated")
     # the scale of a field: the median size of its stated values in the common unit
     sized = named.join(common, (named.field == F.col("_f")) & (named.stated_unit == F.col("_u"))).groupBy("_f").agg(F.percentile_approx(F.abs(F.col("value") * F.col("factor") + F.col("shift")), 0.5, 1000).alias("scale"))
     named = named.join(sized, named.field == sized._f, "left").drop("_f")
