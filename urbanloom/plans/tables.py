@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +66,16 @@ def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     every place that uses them, which would outgrow generated code.
     """
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df` with `name`, the place of every row from 0 in the order of `order`, which must be unique.
+
+    Rows are sorted in range partitions, and a partition's first number is the
+    sum of the sizes before it, so no task sees more than its share.
+    """
+    held = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = held.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    return placed.join(sizes.select("_part", before.alias("_before")), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")

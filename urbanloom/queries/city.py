@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import crs, names
 from urbanloom.functions import geometry as geo
 from urbanloom.operators import graphs, meshes, points, polygons, rasters, sensors
-from urbanloom.plans.tables import table, written
+from urbanloom.plans.tables import numbered, table, written
 from urbanloom.queries.clouds import _GRID, _OK, _dem, _points
 
 SIDES = ["xmin", "ymin", "xmax", "ymax"]
@@ -177,9 +177,9 @@ def road_degrees(spark: SparkSession, sf: str) -> DataFrame:
 def road_vertices(spark: SparkSession, sf: str) -> DataFrame:
     """The distinct ends of the roads of every network, numbered from 0 in their order."""
     ends = _edges(spark, sf).select("network_id", F.explode(F.array("src", "dst")).alias("vertex")).distinct()
-    from pyspark.sql import Window
-
-    return ends.withColumn("vid", F.dense_rank().over(Window.partitionBy("network_id").orderBy("vertex")) - 1)
+    placed = numbered(ends, ["network_id", "vertex"], "_n")
+    first = placed.groupBy("network_id").agg(F.min("_n").alias("_first"))
+    return placed.join(first, "network_id").select("network_id", "vertex", (F.col("_n") - F.col("_first")).cast("int").alias("vid"))
 
 
 def road_components(spark: SparkSession, sf: str) -> DataFrame:

@@ -46,14 +46,13 @@ def geojson_features(polygons: DataFrame, key: str) -> DataFrame:
 
 def road_graph(lines: DataFrame, decimals: int = 2) -> tuple[DataFrame, DataFrame]:
     """Vertices (vid by x, then y) and edges (src, dst, length) of lines; ends are rounded half to even, lengths are not."""
-    from pyspark.sql import Window
-
     from urbanloom.functions.geometry import line_length
+    from urbanloom.plans.tables import numbered
 
     end = lambda p: F.struct(F.bround(p.x, decimals).alias("x"), F.bround(p.y, decimals).alias("y"))
     held = lines.where(F.size("line") > 1).select(end(F.element_at("line", 1)).alias("a"), end(F.element_at("line", -1)).alias("b"), line_length(F.col("line")).alias("length"))
     ends = held.select(F.col("a").alias("p")).union(held.select("b")).distinct()
-    vertices = ends.select("p", (F.row_number().over(Window.orderBy("p.x", "p.y")) - 1).alias("vid"))
+    vertices = numbered(ends.select("p", "p.x", "p.y"), ["x", "y"], "vid")
     edges = held.join(vertices.select(F.col("p").alias("a"), F.col("vid").alias("src")), "a").join(vertices.select(F.col("p").alias("b"), F.col("vid").alias("dst")), "b")
     return vertices.select("vid", "p.x", "p.y"), edges.select("src", "dst", "length")
 
