@@ -18,7 +18,7 @@ def test_names(spark):
     df = spark.createDataFrame([(*k,) for k in names], "field string, name string")
     from pyspark.sql import functions as F
 
-    got = {(r.field, r.name): r.code for r in df.withColumn("code", U.unit_code(F.col("field"), F.col("name"))).collect()}
+    got = {(r.field, r.name): r.code for r in df.withColumn("code", U.unit_codes(F.col("field"), F.array("name"))[0]).collect()}
     assert got == names
 
 

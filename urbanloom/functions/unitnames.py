@@ -62,9 +62,9 @@ def folded(name: Column) -> Column:
     return F.regexp_replace(text, r"[\s._()^]+", "")
 
 
-def unit_code(field: Column, name: Column) -> Column:
-    """The code of a unit name, NULL if the field has no such unit."""
-    text, out = folded(name), F.lit(None).cast("string")
+def unit_code(field: Column, text: Column) -> Column:
+    """The code of a folded unit name, NULL if the field has no such unit."""
+    out = F.lit(None).cast("string")
     for name_of_field, units in PATTERNS.items():
         mine = F.lit(None).cast("string")
         for code, pattern in reversed(units):
@@ -73,6 +73,11 @@ def unit_code(field: Column, name: Column) -> Column:
     return out
 
 
+def unit_codes(field: Column, names: Column) -> Column:
+    """The codes of an array of unit names. Lambdas keep one copy of the pattern chain, and each name is folded once."""
+    return F.transform(F.transform(names, folded), lambda text: unit_code(field, text))
+
+
 def phrases(description: Column) -> Column:
     """The places of a description where its value's unit may stand, as an array."""
     return F.array(*(F.regexp_extract(description, p, 1) for p in PHRASES))

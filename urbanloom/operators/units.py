@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.functions.unitnames import phrases, unit_code
+from urbanloom.functions.unitnames import phrases, unit_codes
 from urbanloom.plans.tables import checkpointed, pinned, written
 
 NEVER = -1e9
@@ -34,10 +34,9 @@ BLOCK = 8192
 
 def stated_units(observations: DataFrame) -> DataFrame:
     """The observations with stated_unit and basis (unit, description or NULL)."""
-    # lambdas keep one copy of the long pattern chain, outside generated code
-    codes = lambda names: F.transform(names, lambda name: unit_code(F.col("field"), name))
-    named = pinned(observations, {"_by_unit": F.get(codes(F.array("unit")), F.lit(0))})
-    by_text = F.get(F.filter(codes(phrases(F.col("description"))), lambda c: c.isNotNull()), F.lit(0))
+    field = F.col("field")
+    named = pinned(observations, {"_by_unit": F.get(unit_codes(field, F.array("unit")), F.lit(0))})
+    by_text = F.get(F.filter(unit_codes(field, F.filter(phrases(F.col("description")), lambda p: p != "")), lambda c: c.isNotNull()), F.lit(0))
     named = pinned(named, {"_by_text": F.when(F.col("_by_unit").isNull(), by_text)})
     basis = F.when(F.col("_by_unit").isNotNull(), "unit").when(F.col("_by_text").isNotNull(), "description")
     return named.withColumns({"stated_unit": F.coalesce("_by_unit", "_by_text"), "basis": basis}).drop("_by_unit", "_by_text")
