@@ -181,6 +181,13 @@ def test_pieces(spark):
     assert splitting.pieces(df.limit(0)).count() == 0
 
 
+def test_an_early_boundary_beats_a_cut_inside_a_word(spark):
+    blob = _texts()[2]
+    df = spark.createDataFrame([(1, "Some words first.\n" + blob)], "doc_id bigint, text string")
+    own = sorted(splitting.pieces(df).collect(), key=lambda r: r.piece)
+    assert own[0].text == "Some words first.\n" and own[0].boundary == "l" and own[1].boundary == "c"
+
+
 def test_pieces_with_other_limits(spark):
     df = spark.createDataFrame([(1, _texts()[1])], "doc_id bigint, text string")
     assert all(r.n_tokens <= 200 for r in splitting.pieces(df, 200, 20).collect())

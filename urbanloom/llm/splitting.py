@@ -58,7 +58,8 @@ def cut_pattern(limit: int, overlap: int) -> str:
     def up_to(most: int) -> str:
         half, quarter = max(0, most // 2 - 1), max(0, most // 4 - 1)
         natural = "|".join(f".{{{half},{most - 1}}}{b}" for b in "pls")
-        return f".{{1,{most}}}\\z|{natural}|.{{{quarter},{most - 1}}}w|.{{0,{most - 1}}}[^x]"
+        # a boundary in the early part still goes before a cut inside a word
+        return f".{{1,{most}}}\\z|{natural}|.{{{quarter},{most - 1}}}w|.{{0,{most - 1}}}[plsw]|.{{0,{most - 1}}}[^x]"
 
     return f"\\A(?:{up_to(limit - SPARE)})|{up_to(limit - overlap - SPARE)}"
 
