@@ -22,6 +22,18 @@ def test_suppression_is_the_greedy_one(spark):
     assert trees.suppress_peaks(df.limit(0), 5.0).count() == 0
 
 
+def test_long_chains_are_settled(spark):
+    row = spark.range(1000).selectExpr("id * 5.0D AS x", "0.0D AS y", "20.0D AS height")
+    assert sorted(r.x for r in trees.suppress_peaks(row, 6.0).collect()) == [5.0 * k for k in range(1, 1000, 2)]
+
+
+def test_chains_across_strips_are_settled(spark):
+    bend = [(5.0 * k, 0.0, 20.0) for k in range(20)] + [(0.0, 5.0 * k, 20.0) for k in range(1, 20)]
+    df = spark.createDataFrame(bend, "x double, y double, height double")
+    whole, cut = ({(r.x, r.y) for r in trees.suppress_peaks(df, 6.0, rules_a_task=n).collect()} for n in (10**6, 10))
+    assert whole == cut and len(whole) == 20
+
+
 def test_regions(spark):
     picture = ["##..#", "#...#", "..#..", ".#..#"]
     cells = spark.createDataFrame([(r, c, 1.0 if x == "#" else None) for r, line in enumerate(picture) for c, x in enumerate(line)], "row int, col int, value double")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.operators.nearby import radius_pairs
 from urbanloom.plans.tables import written
 
-MOST_ROUNDS = 100
+RULES_A_TASK = 200_000
 
 
 def crown_radius(height: Column, a: float = 0.22, b: float = 0.87, low: float = 0.8, high: float = 6.0) -> Column:
@@ -16,14 +20,17 @@ def crown_radius(height: Column, a: float = 0.22, b: float = 0.87, low: float =
     return F.least(F.greatest(a * F.pow(height, F.lit(b)), F.lit(low)), F.lit(high))
 
 
-def suppress_peaks(peaks: DataFrame, radius: float, relative_drop: float = 0.3, absolute_drop: float = 8.0) -> DataFrame:
+def suppress_peaks(peaks: DataFrame, radius: float, relative_drop: float = 0.3, absolute_drop: float = 8.0, rules_a_task: int = RULES_A_TASK) -> DataFrame:
     """The peaks (x, y, height; one per position) that greedy suppression in height order keeps.
 
     A kept peak suppresses every lower one within `radius` whose height is less
     than `absolute_drop` and less than the share `relative_drop` below its own.
-    The order is height, then x, then y. Rounds decide all peaks whose stronger
-    neighbours are decided, which gives the sequential result without a
-    sequence; only pairs of neighbours move.
+    The order is height, then x, then y. In each round every task decides, in
+    that order, the peaks of its strip whose stronger neighbours are decided or
+    in the strip too; strips run along x and y by turns. That gives the
+    sequential result; a chain of neighbours takes a round for each strip that
+    it enters, not for each link. Rounds go on until no peak is open: the
+    highest open one is always decided, so they end.
     """
     held = peaks.select("x", "y", "height").where("height IS NOT NULL AND NOT isnan(height)")
     pairs = radius_pairs(held, ["x", "y"], held.count(), radius=radius)
@@ -33,22 +40,43 @@ def suppress_peaks(peaks: DataFrame, radius: float, relative_drop: float = 0.3,
     strong, weak = F.when(a > b, a).otherwise(b), F.when(a > b, b).otherwise(a)
     rules = both.select(strong.alias("s"), weak.alias("w")).select(*(F.col(f"{p}.{c}").alias(f"{p}{c}") for p in "sw" for c in "hxy"))
     rules = written(rules.where((F.col("sh") - F.col("wh") < absolute_drop) & (F.col("sh") - F.col("wh") < relative_drop * F.col("sh"))), "rules")
-    # peaks that no rule can suppress are kept; then each round removes what kept peaks suppress and keeps what is left unruled
-    kept = held.select("x", "y")
-    open_rules, gone = rules, None
-    for _ in range(MOST_ROUNDS):
-        ruled = open_rules.select(F.col("wx").alias("x"), F.col("wy").alias("y")).distinct()
-        strong_now = open_rules.select(F.col("sx").alias("x"), F.col("sy").alias("y")).distinct().join(ruled, ["x", "y"], "left_anti")
-        out = written(open_rules.join(strong_now.select(F.col("x").alias("sx"), F.col("y").alias("sy")), ["sx", "sy"]).select(F.col("wx").alias("x"), F.col("wy").alias("y")).distinct(), "suppressed")
-        if out.isEmpty():
-            break
+    # a peak that no open rule can suppress is kept, unless it is gone
+    open_rules, gone, turn = rules, None, 0
+    while count := open_rules.count():
+        ruled = open_rules.select(F.col("wx").alias("sx"), F.col("wy").alias("sy"), F.lit(False).alias("kept")).distinct()
+        flagged = open_rules.join(ruled, ["sx", "sy"], "left").select("sh", "sx", "sy", "wh", "wx", "wy", F.coalesce("kept", F.lit(True)).alias("kept"))
+        strips = flagged.repartitionByRange(-(-count // rules_a_task), *(("wx", "wy") if turn % 2 else ("wy", "wx")))
+        decided = written(strips.mapInArrow(_decide, "x double, y double, gone boolean"), "decided")
+        out = decided.where("gone").select("x", "y")
         gone = out if gone is None else gone.union(out)
-        dead = out.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-        rest = open_rules.join(dead, (F.col("wx") == F.col("_x")) & (F.col("wy") == F.col("_y")), "left_anti").join(dead, (F.col("sx") == F.col("_x")) & (F.col("sy") == F.col("_y")), "left_anti")
-        open_rules = written(rest, "rules")
+        rest = open_rules.join(decided.select(F.col("x").alias("wx"), F.col("y").alias("wy")), ["wx", "wy"], "left_anti")
+        open_rules = written(rest.join(out.select(F.col("x").alias("sx"), F.col("y").alias("sy")), ["sx", "sy"], "left_anti"), "rules")
+        turn += 1
     return held.select("x", "y", "height") if gone is None else held.join(gone, ["x", "y"], "left_anti").select("x", "y", "height")
 
 
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, gone of the peaks that the rules of one strip decide; it holds all open rules of each of its weak peaks."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    rules = pa.Table.from_batches(held)
+    sx, sy, wh, wx, wy = (rules.column(c).to_numpy() for c in ("sx", "sy", "wh", "wx", "wy"))
+    order = np.lexsort((wy, wx, wh))[::-1]
+    sx, sy, wx, wy = sx[order], sy[order], wx[order], wy[order]
+    kept = rules.column("kept").to_numpy()[order].tolist()
+    new = np.append(True, (wx[1:] != wx[:-1]) | (wy[1:] != wy[:-1]))
+    first = np.flatnonzero(new)
+    place = {at: k for k, at in enumerate(zip(wx[first].tolist(), wy[first].tolist(), strict=True))}
+    strong = [place.get(at, -1) for at in zip(sx.tolist(), sy.tolist(), strict=True)]
+    state: list[bool | None] = []  # True: gone, False: kept, None: open
+    for low, high in zip(first.tolist(), [*first[1:].tolist(), len(strong)], strict=True):
+        above = [False if kept[i] else state[strong[i]] if strong[i] >= 0 else None for i in range(low, high)]
+        state.append(True if False in above else None if None in above else False)
+    at = np.array([k for k, x in enumerate(state) if x is not None], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(wx[first][at]), pa.array(wy[first][at]), pa.array([state[k] for k in at.tolist()], pa.bool_())], names=["x", "y", "gone"])
+
+
 def canopy(vegetation_top: DataFrame, ground: DataFrame, least: float = 2.0) -> DataFrame:
     """row, col, value: the height of the vegetation above the ground, 0 below `least`."""
     held = vegetation_top.select("row", "col", F.col("value").alias("_top")).join(ground.select("row", "col", F.col("value").alias("_ground")), ["row", "col"], "right")
