@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import names, solids
 from urbanloom.operators import cells as cl
 from urbanloom.operators import trees
+from urbanloom.queries.more import tree_nms
 
 
 def test_suppression_is_the_greedy_one(spark):
@@ -34,6 +35,33 @@ def test_chains_across_strips_are_settled(spark):
     assert whole == cut and len(whole) == 20
 
 
+def test_every_peak_has_its_own_radius(spark):
+    rng = np.random.default_rng(9)
+    at = {(float(x), float(y)): (float(h), float(r)) for x, y, h, r in zip(rng.integers(0, 60, 250), rng.integers(0, 60, 250), rng.integers(5, 40, 250), rng.uniform(0, 9, 250), strict=True)}
+    df = spark.createDataFrame([(x, y, h, r) for (x, y), (h, r) in at.items()], "x double, y double, height double, r double")
+
+    def greedy(least, ruled):
+        order = sorted(((h, x, y, r) for (x, y), (h, r) in at.items() if r >= least), reverse=True)
+        kept, gone = set(), set()
+        for h, x, y, r in order:
+            if (x, y) not in gone:
+                kept.add((x, y))
+                gone |= {(a, b) for g, a, b, _ in order if (g, a, b) < (h, x, y) and np.hypot(a - x, b - y) <= r and (not ruled or h - g < min(8, 0.3 * h))}
+        return kept
+
+    own = trees.suppress_peaks(df, F.col("r"), least_radius=1.0)
+    assert {(r.x, r.y) for r in own.collect()} == greedy(1.0, True)
+    bare = trees.suppress_peaks(df, F.col("r"), relative_drop=None, absolute_drop=None)
+    assert {(r.x, r.y) for r in bare.collect()} == greedy(0.0, False)
+
+
+def test_tree_nms_takes_the_crown_of_each_tree(spark, tmp_path):
+    rows = [(0.0, 0.0, 20.0, 2.0), (3.0, 0.0, 19.0, 2.0), (50.0, 0.0, 20.0, None), (52.5, 0.0, 19.0, 2.0), (54.5, 0.0, 19.0, 2.0), (90.0, 0.0, 20.0, 0.3)]
+    spark.createDataFrame(rows, "x double, y double, height double, crown_radius double").write.parquet(f"{tmp_path}/trees.parquet")
+    # 0.22 * 20 ** 0.87 is 2.98
+    assert {r.x for r in tree_nms(spark, str(tmp_path)).collect()} == {0.0, 3.0, 50.0, 54.5}
+
+
 def test_regions(spark):
     picture = ["##..#", "#...#", "..#..", ".#..#"]
     cells = spark.createDataFrame([(r, c, 1.0 if x == "#" else None) for r, line in enumerate(picture) for c, x in enumerate(line)], "row int, col int, value double")

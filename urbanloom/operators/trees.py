@@ -20,11 +20,14 @@ def crown_radius(height: Column, a: float = 0.22, b: float = 0.87, low: float =
     return F.least(F.greatest(a * F.pow(height, F.lit(b)), F.lit(low)), F.lit(high))
 
 
-def suppress_peaks(peaks: DataFrame, radius: float, relative_drop: float = 0.3, absolute_drop: float = 8.0, rules_a_task: int = RULES_A_TASK) -> DataFrame:
+def suppress_peaks(peaks: DataFrame, radius: float | Column, relative_drop: float | None = 0.3, absolute_drop: float | None = 8.0, least_radius: float = 0.0, rules_a_task: int = RULES_A_TASK) -> DataFrame:
     """The peaks (x, y, height; one per position) that greedy suppression in height order keeps.
 
-    A kept peak suppresses every lower one within `radius` whose height is less
-    than `absolute_drop` and less than the share `relative_drop` below its own.
+    A kept peak suppresses every lower one within its own `radius` (a number, or
+    a column of `peaks`) whose height is less than `absolute_drop` and less than
+    the share `relative_drop` below its own; None leaves a condition out. Peaks
+    whose radius is under `least_radius` are dropped first; those with a NULL or
+    NaN radius suppress nothing.
     The order is height, then x, then y. In each round every task decides, in
     that order, the peaks of its strip whose stronger neighbours are decided or
     in the strip too; strips run along x and y by turns. That gives the
@@ -32,14 +35,18 @@ def suppress_peaks(peaks: DataFrame, radius: float, relative_drop: float = 0.3,
     it enters, not for each link. Rounds go on until no peak is open: the
     highest open one is always decided, so they end.
     """
-    held = peaks.select("x", "y", "height").where("height IS NOT NULL AND NOT isnan(height)")
-    pairs = radius_pairs(held, ["x", "y"], held.count(), radius=radius)
-    side = lambda s: held.select(F.col("x").alias(f"{s}_x"), F.col("y").alias(f"{s}_y"), F.col("height").alias(f"{s}_h"))
-    both = pairs.join(side("a"), ["a_x", "a_y"]).join(side("b"), ["b_x", "b_y"])
-    a, b = (F.struct(*(F.col(f"{s}_{c}").alias(c) for c in "hxy")) for s in "ab")
-    strong, weak = F.when(a > b, a).otherwise(b), F.when(a > b, b).otherwise(a)
-    rules = both.select(strong.alias("s"), weak.alias("w")).select(*(F.col(f"{p}.{c}").alias(f"{p}{c}") for p in "sw" for c in "hxy"))
-    rules = written(rules.where((F.col("sh") - F.col("wh") < absolute_drop) & (F.col("sh") - F.col("wh") < relative_drop * F.col("sh"))), "rules")
+    r = radius if isinstance(radius, Column) else F.lit(float(radius))
+    held = peaks.select("x", "y", "height", r.cast("double").alias("r")).where("height IS NOT NULL AND NOT isnan(height)").where(F.col("r").isNull() | (F.col("r") >= least_radius))
+    probes = held.select("x", "y", "r", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("height").alias("sh"))
+    pairs = radius_pairs(held, ["x", "y"], held.count(), probes=probes).select(F.col("i_x").alias("wx"), F.col("i_y").alias("wy"), "sx", "sy", "sh")
+    weak = held.select(F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("height").alias("wh"))
+    rules = pairs.join(weak, ["wx", "wy"]).where("struct(sh, sx, sy) > struct(wh, wx, wy)").select("sh", "sx", "sy", "wh", "wx", "wy")
+    drop = F.col("sh") - F.col("wh")
+    if absolute_drop is not None:
+        rules = rules.where(drop < absolute_drop)
+    if relative_drop is not None:
+        rules = rules.where(drop < relative_drop * F.col("sh"))
+    rules = written(rules, "rules")
     # a peak that no open rule can suppress is kept, unless it is gone
     open_rules, gone, turn = rules, None, 0
     while count := open_rules.count():

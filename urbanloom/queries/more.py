@@ -73,9 +73,14 @@ def snap_trees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tree_nms(spark: SparkSession, sf: str) -> DataFrame:
-    """Tree tops that greedy suppression within 6 m keeps, the highest survey of a position counting."""
+    """Tree tops that greedy suppression within their crowns keeps, the highest survey of a position counting.
+
+    A crown's radius is the surveyed one (the largest of equal heights), else the usual one at the height; crowns under 0.6 m are dropped.
+    """
     held = table(spark, sf, "trees").where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND height > 0 AND height < 100")
-    return trees.suppress_peaks(held.groupBy("x", "y").agg(F.max("height").alias("height")), 6.0)
+    crown = F.when((F.col("crown_radius") > 0) & ~F.isnan("crown_radius"), F.col("crown_radius"))
+    tops = held.groupBy("x", "y").agg(F.max(F.struct("height", crown.alias("r"))).alias("top")).select("x", "y", "top.*")
+    return trees.suppress_peaks(tops, F.coalesce("r", trees.crown_radius(F.col("height"))), least_radius=0.6)
 
 
 def ray_roofs(spark: SparkSession, sf: str) -> DataFrame:
