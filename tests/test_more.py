@@ -176,3 +176,16 @@ def test_solids_close(spark):
     line = spark.createDataFrame([([{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 4.0}, {"x": 3.0, "y": 4.0}, {"x": 3.0, "y": 9.0}],)], "line array<struct<x:double,y:double>>")
     got = line.select(F.transform(geo.road_surfaces(F.col("line"), 2.0), geo.area).alias("a")).first().a
     assert got == pytest.approx([10.0, 10.0])
+
+
+def test_city_heights_leave_roof_outliers_out(spark):
+    from urbanloom.operators import rasters
+    from urbanloom.plans import city
+
+    roof = [(2.0 + k % 5, 2.0 + k // 5, 10.0, 6) for k in range(17)] + [(3.0, 3.0, 60.0, 6), (5.0, 4.0, 90.0, 6), (4.0, 5.0, 120.0, 6)]
+    points = spark.createDataFrame(roof, "x double, y double, z double, classification int")
+    prints = spark.createDataFrame([("b", [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)])], "building_id string, ring array<struct<x: double, y: double>>")
+    terrain = spark.createDataFrame([(r, c, 0.0) for r in range(10) for c in range(10)], "row int, col int, value double")
+    held = city.City(points=points, terrain=terrain, grid=rasters.Grid(0.0, 10.0, 1.0, 10, 10)).with_footprints(prints)
+    assert held.building_heights().buildings.first().height == 10.0
+    assert held.building_heights(outliers=None).buildings.first().height > 50.0

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from urbanloom.functions import geometry as geo
 from urbanloom.operators.graphs import connected_components
 from urbanloom.operators.ranked import exact_percentiles
+from urbanloom.operators.roofs import neighbour_outliers
+from urbanloom.plans.tables import written
 
 TILE = 32.0
 
@@ -49,13 +51,18 @@ def merge_groups(boxes: DataFrame, key: str, distance: float) -> DataFrame:
     return connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(alone))
 
 
-def building_heights(buildings: DataFrame, roof_points: DataFrame, ground: DataFrame, percentile: float = 0.9, least: float = 2.5) -> DataFrame:
+def building_heights(buildings: DataFrame, roof_points: DataFrame, ground: DataFrame, percentile: float = 0.9, least: float = 2.5, outliers: tuple[int, float] | None = None) -> DataFrame:
     """building_id, ground_height, roof, height: the percentile of the roof points' z above the ground, at least `least`.
 
     `ground` has building_id and ground (the terrain at the mean of the
-    vertices). A building without roof points gets the least height.
+    vertices). A building without roof points gets the least height. With
+    `outliers` (neighbours, margin), the roof's points that
+    roofs.neighbour_outliers names are left out.
     """
     inside = points_in_polygons(roof_points.where("z IS NOT NULL AND NOT isnan(z) AND coalesce(classification NOT IN (2, 9), true)"), buildings, "building_id")
+    if outliers is not None:
+        inside = written(inside.select("building_id", *(F.col(c).cast("double").alias(c) for c in "xyz")), "roofs")
+        inside = inside.join(neighbour_outliers(inside, "building_id", *outliers), ["building_id", "x", "y", "z"], "left_anti")
     roof = exact_percentiles(inside, ["building_id"], "z", {"roof": percentile})
     held = buildings.select("building_id").join(ground.select("building_id", F.col("ground").alias("ground_height")), "building_id", "left").join(roof, "building_id", "left")
     return held.withColumn("height", F.greatest(F.coalesce(F.col("roof") - F.col("ground_height"), F.lit(float(least))), F.lit(float(least))))

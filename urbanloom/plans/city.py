@@ -37,12 +37,12 @@ class City:
         cells = rasters.rasterize(self.points, grid).select("row", "col", "value")
         return replace(self, terrain=rasters.fill_holes(cells, grid.rows * grid.cols) if fill else cells, grid=grid)
 
-    def building_heights(self, percentile: float = 0.9, least: float = 2.5) -> City:
-        """Buildings with ground_height, roof and height, from roof points over the terrain."""
+    def building_heights(self, percentile: float = 0.9, least: float = 2.5, outliers: tuple[int, float] | None = (5, 1.5)) -> City:
+        """Buildings with ground_height, roof and height, from roof points over the terrain, without each roof's `outliers` (neighbours, margin; None keeps all)."""
         held = self if self.terrain is not None else self.build_terrain()
         centre = held.buildings.select("building_id", geo.vertex_mean(F.col("ring")).alias("c")).select("building_id", "c.*")
         ground = rasters.sample(centre, held.terrain, held.grid)
-        heights = polygons.building_heights(held.buildings, held.points, ground, percentile, least)
+        heights = polygons.building_heights(held.buildings, held.points, ground, percentile, least, outliers)
         return replace(held, buildings=held.buildings.join(heights, "building_id"))
 
     def build_lod1(self, default_ground: float = 0.0) -> City:
