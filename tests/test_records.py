@@ -115,3 +115,9 @@ def test_number_pattern():
 
     assert all(re.match(NUMBER, s) for s in ("1", "+1.", "-.5", "1e5", "1.5E-3"))
     assert not any(re.match(NUMBER, s) for s in ("", ".", "1e", "e5", "0x1", "1_0", "inf", "1,5"))
+
+
+def test_keys_of_nineteen_digits(spark):
+    keys = {"1000000000000000000": 10**18, "0009223372036854775807": 2**63 - 1, "9223372036854775808": None, "10000000000000000000": None, "999999999999999999": 10**18 - 1}
+    df = spark.createDataFrame([(k, "points", f"c1,{text},1,2,3,2,10,1,2") for k, text in enumerate(keys)], "record_id bigint, layout string, line string")
+    assert [r.point_id for r in valid(parse_records(df), "points").orderBy("record_id").collect()] == list(keys.values())

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 BLANKS = " \t\r"
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+#: The greatest bigint; texts of its length compare as their numbers do.
+MOST_KEY = "9223372036854775807"
 DIGITS = r"^[0-9]+$"
 #: Bytes of text that go through the CSV reader at once.
 CHUNK_BYTES = 32 << 20
@@ -153,7 +155,8 @@ def _judge(part: Part, text: pa.Array) -> tuple[np.ndarray, pa.Array]:
         if part.spark == "string":
             return shape, pc.if_else(pa.array(shape), text, pa.scalar(None, pa.string()))
         bare = pc.replace_substring_regex(text, "^0+([0-9])", r"\1")
-        fits = shape & (pc.utf8_length(bare).to_numpy(zero_copy_only=False) <= 18)
+        digits = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+        fits = shape & ((digits < len(MOST_KEY)) | (digits == len(MOST_KEY)) & pc.less_equal(bare, MOST_KEY).to_numpy(zero_copy_only=False))
         return shape, pc.if_else(pa.array(fits), bare, pa.scalar(None, pa.string())).cast(kind)
     values = _numbers(text, shape)
     ok = shape & np.isfinite(values)
