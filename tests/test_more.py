@@ -74,6 +74,13 @@ def test_regions(spark):
     assert {(r.row, r.col) for r in cl.small_holes(ring, 3, 1).collect()} == {(1, 1)}
 
 
+def test_small_holes_are_filled_and_large_ones_zero(spark):
+    picture = ["11111", "1.1..", "111..", "22222"]
+    cells = spark.createDataFrame([(r, c, None if x == "." else float(x)) for r, line in enumerate(picture) for c, x in enumerate(line)], "row int, col int, value double")
+    got = {(r.row, r.col): r.value for r in cl.fill_small_holes(cells, 5, 1, 20).collect()}
+    assert got == {(r, c): 1.0 if (r, c) == (1, 1) else 0.0 if x == "." else float(x) for r, line in enumerate(picture) for c, x in enumerate(line)}
+
+
 def test_rays(spark):
     one = lambda *p: tuple(F.lit(float(v)) for v in p)
     square = (one(0, 0, 1), one(1, 0, 1), one(1, 1, 1))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.operators.graphs import connected_components
-from urbanloom.operators.rasters import ALONG_COLUMN, ALONG_ROW, _beside
+from urbanloom.operators.rasters import ALONG_COLUMN, ALONG_ROW, _beside, fill_holes
 
 
 def regions(cells: DataFrame, width: int, corners: bool = True) -> DataFrame:
@@ -36,6 +36,14 @@ def small_holes(cells: DataFrame, width: int, most: int) -> DataFrame:
     return found.join(small, "region", "left_semi").select("row", "col")
 
 
+def fill_small_holes(cells: DataFrame, width: int, most: int, rows_hint: int) -> DataFrame:
+    """`cells` (row, col, value) with the holes of at most `most` cells filled from the nearest valid cell, and larger holes made 0."""
+    small = small_holes(cells, width, most).withColumn("_small", F.lit(True))
+    filled = fill_holes(cells, rows_hint).withColumnRenamed("value", "_filled")
+    held = cells.join(filled, ["row", "col"]).join(small, ["row", "col"], "left")
+    return held.select("row", "col", F.when(F.col("value").isNotNull() | F.col("_small").isNotNull(), F.col("_filled")).otherwise(0.0).alias("value"))
+
+
 def smooth(cells: DataFrame, sweeps: int = 1) -> DataFrame:
     """Each cell becomes the mean of its four neighbours, all at once per sweep; beyond the edge the cell itself counts."""
     v = F.col("value")
