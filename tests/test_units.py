@@ -71,3 +71,13 @@ def test_cuts_do_not_matter(spark):
     one = {(r.obs_id, r.unit_code) for r in U.normalise_units(df, _real_units(spark), 10**9).collect()}
     many = {(r.obs_id, r.unit_code) for r in U.normalise_units(df, _real_units(spark), 25).collect()}
     assert one == many
+
+
+def test_codes_of_the_table_are_names(spark):
+    units = spark.createDataFrame([("humidity", "rel_pct", 1.0, 0.0, True), ("humidity", "frac", 100.0, 0.0, False), ("wind_speed", "m_s", 1.0, 0.0, True), ("wind_speed", "dm_s", 0.1, 0.0, False)], "field string, unit_code string, factor double, shift double, is_common boolean")
+    rows = [(1, "s", "humidity", 0.5, " frac", None), (2, "s", "humidity", 50.0, "Rel Pct", None), (3, "s", "humidity", 0.4, None, "relative humidity; values in FRAC"), (4, "s", "wind_speed", 30.0, "dm_s", None), (5, "s", "wind_speed", 3.0, "metres per second", None), (6, "s", "wind_speed", 3.0, "frac", None), (7, "s", None, 3.0, "frac", None)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "obs_id bigint, station_id string, field string, value double, unit string, description string, ts timestamp_ntz, received_at timestamp_ntz")
+    got = {r.obs_id: (r.basis, r.unit_code) for r in U.normalise_units(df, units).collect()}
+    assert {k: got[k] for k in range(1, 6)} == {1: ("unit", "frac"), 2: ("unit", "rel_pct"), 3: ("description", "frac"), 4: ("unit", "dm_s"), 5: ("unit", "m_s")}
+    assert got[6][0] == "decoded" and got[7][1] is None
+    assert {r.obs_id for r in U.converted(U.normalise_units(df, units)).collect()} == {1, 3, 4}

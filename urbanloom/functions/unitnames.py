@@ -1,12 +1,17 @@
 """Units as people write them: a name in a unit column or inside a description, to a unit code.
 
 Names are folded first (case, blanks, dots, signs, raised digits), so that one
-short pattern per unit covers its spellings in English and Swedish.
+short pattern per unit covers its spellings in English and Swedish. Other fields
+and units are read by their codes in the table of units (`coded`).
+
+A description is read where one of the templates of PHRASES puts the unit:
+"Enhet: U. ..." (U may hold a dot), "Enhet: U", "given in U, ...",
+"readings are U; ...", "... (U)", "...; values in U" and "... - unit U".
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _METRE, _PER_S = "met(?:er|re)s?", "per(?:second|sekund)"
@@ -73,9 +78,23 @@ def unit_code(field: Column, text: Column) -> Column:
     return out
 
 
-def unit_codes(field: Column, names: Column) -> Column:
-    """The codes of an array of unit names. Lambdas keep one copy of the pattern chain, and each name is folded once."""
-    return F.transform(F.transform(names, folded), lambda text: unit_code(field, text))
+def coded(units: DataFrame) -> DataFrame:
+    """Per field of the table of units (field, unit_code): _exact and _folded, maps from a code and from a folded code to the code. What two codes fold to is in neither."""
+    held = units.select("field", F.col("unit_code").alias("code")).where("field IS NOT NULL AND code IS NOT NULL").distinct()
+
+    def by(key: Column, name: str) -> DataFrame:
+        one = held.groupBy("field", key.alias("key")).agg(F.min("code").alias("code"), F.count("*").alias("n")).where("n = 1 AND key != ''")
+        return one.groupBy("field").agg(F.map_from_entries(F.collect_list(F.struct("key", "code"))).alias(name))  # 10,000 entries at most
+
+    return by(F.trim("code"), "_exact").join(by(folded(F.col("code")), "_folded"), "field", "full").withColumnRenamed("field", "_of")
+
+
+def unit_codes(field: Column, names: Column, exact: Column | None = None, fold: Column | None = None) -> Column:
+    """The codes of an array of unit names, by the maps of `coded` if given, else by PATTERNS. Lambdas keep one copy of the pattern chain, and each name is folded once."""
+    if exact is None or fold is None:
+        return F.transform(F.transform(names, folded), lambda text: unit_code(field, text))
+    both = F.transform(names, lambda name: F.struct(F.trim(name).alias("name"), folded(name).alias("text")))
+    return F.transform(both, lambda b: F.coalesce(F.try_element_at(exact, b["name"]), F.try_element_at(fold, b["text"]), unit_code(field, b["text"])))
 
 
 def phrases(description: Column) -> Column:

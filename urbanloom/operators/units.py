@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urbanloom.functions.unitnames import phrases, unit_codes
+from urbanloom.functions.unitnames import coded, phrases, unit_codes
 from urbanloom.plans.tables import checkpointed, pinned, written
 
 NEVER = -1e9
@@ -32,14 +32,18 @@ ROWS_A_PARTITION = 50_000
 BLOCK = 8192
 
 
-def stated_units(observations: DataFrame) -> DataFrame:
-    """The observations with stated_unit and basis (unit, description or NULL)."""
+def stated_units(observations: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """The observations with stated_unit and basis (unit, description or NULL). With `units`, the codes of its rows are names too, and come before other names."""
     field = F.col("field")
-    named = pinned(observations, {"_by_unit": F.get(unit_codes(field, F.array("unit")), F.lit(0))})
-    by_text = F.get(F.filter(unit_codes(field, F.filter(phrases(F.col("description")), lambda p: p != "")), lambda c: c.isNotNull()), F.lit(0))
+    held, maps = observations, ()
+    if units is not None:
+        own = coded(units)
+        held, maps = observations.join(F.broadcast(own), field == F.col("_of"), "left").drop("_of"), (F.col("_exact"), F.col("_folded"))
+    named = pinned(held, {"_by_unit": F.get(unit_codes(field, F.array("unit"), *maps), F.lit(0))})
+    by_text = F.get(F.filter(unit_codes(field, F.filter(phrases(F.col("description")), lambda p: p != ""), *maps), lambda c: c.isNotNull()), F.lit(0))
     named = pinned(named, {"_by_text": F.when(F.col("_by_unit").isNull(), by_text)})
     basis = F.when(F.col("_by_unit").isNotNull(), "unit").when(F.col("_by_text").isNotNull(), "description")
-    return named.withColumns({"stated_unit": F.coalesce("_by_unit", "_by_text"), "basis": basis}).drop("_by_unit", "_by_text")
+    return named.withColumns({"stated_unit": F.coalesce("_by_unit", "_by_text"), "basis": basis}).drop("_by_unit", "_by_text", "_exact", "_folded")
 
 
 class UnitTable:
@@ -144,7 +148,7 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
     known = UnitTable(units)
     common = units.select(F.col("field").alias("_f"), F.col("unit_code").alias("_u"), "factor", "shift", "is_common")
     # names are read once; both the scales and the chain start from the written table
-    named = written(stated_units(kept).drop("unit", "description"), "stated")
+    named = written(stated_units(kept, units).drop("unit", "description"), "stated")
     # the scale of a field: the median size of its stated values in the common unit
     sized = named.join(common, (named.field == F.col("_f")) & (named.stated_unit == F.col("_u"))).groupBy("_f").agg(F.percentile_approx(F.abs(F.col("value") * F.col("factor") + F.col("shift")), 0.5, 1000).alias("scale"))
     named = named.join(sized, named.field == sized._f, "left").drop("_f")
