@@ -67,21 +67,25 @@ def is_convex(ring: Column) -> Column:
     return F.forall(turn, lambda t: t >= 0) | F.forall(turn, lambda t: t <= 0)
 
 
-def winding(ring: Column, x: Column, y: Column) -> Column:
-    """Quarter turns of the ring around a point: 0 outside, 4 or -4 inside. A vertex level with the point counts as below or left of it."""
-    def quarter(p: Column) -> Column:
-        return F.when(p.x > x, F.when(p.y > y, 0).otherwise(3)).otherwise(F.when(p.y > y, 1).otherwise(2))
+def crossings(ring: Column, x: Column, y: Column) -> Column:
+    """How many edges of the ring lie strictly right of a point, on its level.
 
-    def turn(p: Column, q: Column) -> Column:
-        step = quarter(q) - quarter(p)
-        cut = q.x - (q.y - y) * ((p.x - q.x) / (p.y - q.y))
-        return F.when(step == 3, -1).when(step == -3, 1).when(F.abs(step) == 2, F.when(cut > x, -step).otherwise(step)).otherwise(step)
+    An edge counts on the levels from its lower end (included) to its upper end
+    (left out), so a shared vertex counts once; the sign of one cross product
+    says on which side of the edge the point is.
+    """
 
-    return F.aggregate(per_edge(ring, turn), F.lit(0), lambda a, b: a + b)
+    def right_of_point(p: Column, q: Column) -> Column:
+        low, high = F.when(p.y <= q.y, p).otherwise(q), F.when(p.y <= q.y, q).otherwise(p)
+        side = (high.x - low.x) * (y - low.y) - (high.y - low.y) * (x - low.x)
+        return (low.y <= y) & (y < high.y) & (side > 0)
+
+    return F.size(F.filter(per_edge(ring, right_of_point), lambda hit: hit))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
-    return winding(ring, x, y) != 0
+    """Whether an odd number of edges lies right of the point. Of points on the ring, those on left and lower edges are inside, those on right and upper edges outside."""
+    return crossings(ring, x, y) % 2 == 1
 
 
 def translate(ring: Column, dx: float | Column, dy: float | Column) -> Column:

@@ -362,10 +362,10 @@ _B = "b AS (SELECT DISTINCT * FROM survey_bounds WHERE xmin <= xmax AND ymin <=
 _F = f"{_B}, f AS (SELECT bounds_id AS building_id, (xmin + xmax) / 2 AS cx, (ymin + ymax) / 2 AS cy, (xmax - xmin) / 2 AS hw, (ymax - ymin) / 2 AS hh, xmin, ymin, xmax, ymax FROM b)"
 _PD = "pd AS (SELECT DISTINCT cloud_id, strip_id, point_id, x, y, z, classification, intensity, return_number, num_returns FROM points)"
 _INSIDE = "x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax AND abs(x - cx) * hh + abs(y - cy) * hw < hw * hh"
-_Q = lambda a, b: f"CASE WHEN {a} > x THEN CASE WHEN {b} > y THEN 0 ELSE 3 END ELSE CASE WHEN {b} > y THEN 1 ELSE 2 END END"
-#: The winding rule itself, for data that lie on edges.
-_WINDS = f"""x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax AND (SELECT sum(CASE WHEN st = 3 THEN -1 WHEN st = -3 THEN 1 WHEN abs(st) = 2 THEN CASE WHEN qx - (qy - y) * ((px - qx) / (py - qy)) > x THEN -st ELSE st END ELSE st END)
-  FROM (SELECT px, py, qx, qy, {_Q("qx", "qy")} - {_Q("px", "py")} AS st FROM (VALUES (xmax, cy, cx, ymax), (cx, ymax, xmin, cy), (xmin, cy, cx, ymin), (cx, ymin, xmax, cy)) e(px, py, qx, qy))) != 0"""
+#: The same for data that lie on edges: between the two edges on the level of y, upper ones above cy, lower ones below; the left edge is inside, the right one outside.
+_LEFT_OF = lambda x0, y0, x1, y1: f"({x1} - {x0}) * (y - {y0}) - ({y1} - {y0}) * (x - {x0}) > 0"
+_WINDS = f"""y >= ymin AND y < ymax AND CASE WHEN y >= cy THEN {_LEFT_OF("xmax", "cy", "cx", "ymax")} AND NOT ({_LEFT_OF("xmin", "cy", "cx", "ymax")})
+  ELSE {_LEFT_OF("cx", "ymin", "xmax", "cy")} AND NOT ({_LEFT_OF("cx", "ymin", "xmin", "cy")}) END"""
 _GAP = "sqrt(pow(greatest(r.xmin - l.xmax, l.xmin - r.xmax, 0), 2) + pow(greatest(r.ymin - l.ymax, l.ymin - r.ymax, 0), 2))"
 _E = "e AS (SELECT DISTINCT * FROM road_edges WHERE length > 1e-8 AND NOT isnan(length))"
 _V = "v AS (SELECT vec_id AS vid, round(embedding[1]::DOUBLE * 16, 1) AS x, round(embedding[2]::DOUBLE * 16, 1) AS y, round(embedding[3]::DOUBLE * 16, 1) AS z FROM embeddings), n AS (SELECT count(*) AS n FROM embeddings), f AS (SELECT vec_id AS fid, vec_id AS v0, vec_id + 1 AS v1, vec_id + 2 AS v2 FROM embeddings, n WHERE vec_id < n - 2), c AS (SELECT vec_id AS cid, vec_id AS v0, vec_id + 1 AS v1, vec_id + 2 AS v2, vec_id + 3 AS v3 FROM embeddings, n WHERE vec_id < n - 3)"
