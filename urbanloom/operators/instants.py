@@ -1,21 +1,27 @@
 """One UTC instant for every measured time, or the reason why there is none.
 
 A time that states a zone or offset is converted by it; a local time by the zone
-on record for its station. A time that names no zone, of a station without one,
-gets an estimate: every candidate zone (an offset history with its daylight
-saving) is laid against the arrival times, and the one with the fewest
-violations wins.
+on record for its station. `with_estimates` goes on with the times that name no
+zone, of stations without one: every candidate zone (an offset history with its
+daylight saving) is laid against the arrival times month by month, and the
+history of zones with the fewest violations, changes of zone being dear, wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanloom.functions.timeparse import CANONICAL, DAY_US, clock_fields, clock_us, epoch_us, fields_of, is_known_zone, utc_text, zone_offset_us
 from urbanloom.plans.tables import pinned
 
 MINUTE_US = 60_000_000
+#: A change of a station's zone is as bad as so many violations.
+CHANGE = 5
 #: Candidates besides the zones on record: UTC, and Central and Eastern European winter time all year.
 STEADY = ("Etc/GMT-1", "Etc/GMT-2", "UTC")
 
@@ -40,17 +46,13 @@ def _candidate_zones(zones: DataFrame) -> list[str]:
     return sorted({r[0] for r in named} | set(STEADY))
 
 
-def normalise_instants(snapshots: DataFrame, zones: DataFrame, fresh_minutes: int = 30, ahead_minutes: int = 2) -> DataFrame:
+def normalise_instants(snapshots: DataFrame, zones: DataFrame) -> DataFrame:
     """The measured time of every snapshot as one UTC instant.
 
     Columns: snapshot_id, station_id, written (the text), form (canonical if it
-    already is in the target form, else other), status, utc_us, utc, zone_estimate,
-    violations, estimated_utc. status is absent (missing, null or empty), ok,
-    unreadable, no_zone, nonexistent or ambiguous. An estimate exists only for
-    no_zone rows of stations with at least one arrival time: a candidate zone is
-    violated by a row whose instant lies more than `ahead_minutes` after its
-    arrival or more than `fresh_minutes` before it, or that the zone skips; the
-    fewest violations win, ties go to the first name.
+    already is in the target form, else other), status, utc_us, utc, local_us (the
+    clock as written, if it was read), received_us. status is absent (missing,
+    null or empty), ok, unreadable, no_zone, nonexistent or ambiguous.
 
     Defined results: rows repeated in all columns count once; a NULL or unknown
     station has no zone; an unknown tz_name counts as none; NULL received_at
@@ -81,30 +83,75 @@ def normalise_instants(snapshots: DataFrame, zones: DataFrame, fresh_minutes: in
     base = pinned(base, {"status": status}).withColumn("utc_us", F.when(F.col("status") == "ok", F.coalesce(by_text, "early", "late")))
     base = base.withColumn("form", F.when(F.col("written").rlike(CANONICAL) & (F.col("status") == "ok"), "canonical").otherwise("other"))
 
-    candidates = _candidate_zones(zones)
-    best = estimate_zones(base.where("status = 'no_zone'").select("station_id", "local", "received_us"), candidates, fresh_minutes, ahead_minutes)
-    out = base.join(best.withColumnRenamed("station_id", "_station"), (F.col("station_id") == F.col("_station")) & (F.col("status") == "no_zone"), "left")
-    out = _with_utc(out.drop("early", "late"), "local", "zone_estimate").withColumn("estimated_us", F.coalesce("early", "late"))
-    return out.select("snapshot_id", "station_id", "written", "form", "status", "utc_us", utc_text(F.col("utc_us")).alias("utc"), "zone_estimate", "violations", utc_text(F.col("estimated_us")).alias("estimated_utc"))
+    return base.select("snapshot_id", "station_id", "written", "form", "status", "utc_us", utc_text(F.col("utc_us")).alias("utc"), F.col("local").alias("local_us"), "received_us")
 
 
-def estimate_zones(local_times: DataFrame, candidates: list[str], fresh_minutes: int = 30, ahead_minutes: int = 2) -> DataFrame:
-    """The zone of every station by its local times (`local`, microseconds) and arrivals (`received_us`).
+def with_estimates(instants: DataFrame, zones: DataFrame, fresh_minutes: int = 30, ahead_minutes: int = 2) -> DataFrame:
+    """normalise_instants' rows of status no_zone with zone_estimate, violations, estimated_utc.
 
-    Columns station_id, zone_estimate, violations, evidence. Counts are combined
-    before the shuffle, so a station with a third of all rows is no more work.
+    Defined results: stations without any arrival time, and NULL stations, have
+    no estimate; a local time that the estimated zone has twice takes the earlier
+    instant, one that it skips has none.
+    """
+    open_rows = instants.where("status = 'no_zone'").withColumnsRenamed({"local_us": "local"}).withColumn("month", month_of(F.col("local")))
+    best = estimate_zones(open_rows, _candidate_zones(zones), fresh_minutes, ahead_minutes)
+    best = best.withColumnsRenamed({"station_id": "_station", "month": "_month"})
+    out = open_rows.join(best, (F.col("station_id") == F.col("_station")) & (F.col("month") == F.col("_month")), "left")
+    out = _with_utc(out, "local", "zone_estimate").withColumn("estimated_us", F.coalesce("early", "late"))
+    return out.select("snapshot_id", "station_id", "written", "zone_estimate", "violations", "estimated_us", utc_text(F.col("estimated_us")).alias("estimated_utc"))
+
+
+def month_of(local: Column) -> Column:
+    """Months since January of year 0 of a local time in microseconds."""
+    day = F.date_from_unix_date(F.floor(local / DAY_US).cast("int"))
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def estimate_zones(local_times: DataFrame, candidates: list[str], fresh_minutes: int = 30, ahead_minutes: int = 2, change: float = CHANGE) -> DataFrame:
+    """The zone of every station in every month, by its local times (`local`, microseconds) and arrivals (`received_us`).
+
+    Columns station_id, month, zone_estimate, violations. A candidate is violated
+    by a row whose instant lies more than `ahead_minutes` after its arrival or
+    more than `fresh_minutes` before it, or that the zone skips. Of all
+    histories (a zone a month) the one with the fewest violations, a change
+    counting as `change` more, is found by dynamic programming; ties go to the
+    first name. Months without arrivals have the zone of the month before, else after.
+    Violations are counted per station, month and candidate before the shuffle,
+    so a station with a third of all rows is no more work than any other.
     """
+    kept = local_times.where("local IS NOT NULL AND station_id IS NOT NULL").select("station_id", month_of(F.col("local")).alias("month"), "local", "received_us")
     if not candidates:
-        return local_times.sparkSession.createDataFrame([], "station_id string, zone_estimate string, violations bigint, evidence bigint")
-    rows = local_times.where("received_us IS NOT NULL AND local IS NOT NULL AND station_id IS NOT NULL")
-    rows = rows.withColumn("candidate", F.explode(F.array(*(F.lit(z) for z in candidates))))
-    rows = _with_utc(rows, "local", "candidate")
+        return kept.sparkSession.createDataFrame([], "station_id string, month int, zone_estimate string, violations bigint")
+    rows = kept.withColumn("candidate", F.explode(F.array(*(F.lit(k) for k in range(len(candidates))))))
+    rows = _with_utc(rows.withColumn("_zone", F.element_at(F.array(*(F.lit(z) for z in candidates)), F.col("candidate") + 1)), "local", "_zone")
     early, late = F.col("early"), F.col("late")
     fits = lambda u: (F.col("received_us") - u).between(-ahead_minutes * MINUTE_US, fresh_minutes * MINUTE_US)
-    broken = ~F.coalesce(fits(early), F.lit(False)) & ~F.coalesce(fits(late), F.lit(False))
-    counted = rows.groupBy("station_id", "candidate").agg(F.sum(broken.cast("bigint")).alias("violations"), F.count("*").alias("evidence"))
-    first = F.row_number().over(Window.partitionBy("station_id").orderBy("violations", "candidate"))
-    return counted.withColumn("_n", first).where("_n = 1").select("station_id", F.col("candidate").alias("zone_estimate"), "violations", "evidence")
+    broken = (F.col("received_us").isNotNull() & ~F.coalesce(fits(early), F.lit(False)) & ~F.coalesce(fits(late), F.lit(False))).cast("bigint")
+    counted = rows.groupBy("station_id", "month", "candidate").agg(F.sum(broken).alias("violations"), F.count("received_us").alias("evidence"))
+
+    def history(months: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(months))
+        month, at = np.unique(table.column("month").to_numpy(), return_inverse=True)
+        cost, seen = np.zeros((len(month), len(candidates))), np.zeros(len(month), np.int64)
+        cost[at, table.column("candidate").to_numpy()] = table.column("violations").to_numpy()
+        np.maximum.at(seen, at, table.column("evidence").to_numpy())
+        if not seen.any():
+            return
+        best, came = cost[0].copy(), np.zeros(cost.shape, np.int64)
+        for t in range(1, len(month)):
+            cheapest = int(best.argmin())
+            stay = best <= best[cheapest] + change
+            came[t] = np.where(stay, np.arange(len(candidates)), cheapest)
+            best = np.where(stay, best, best[cheapest] + change) + cost[t]
+        path = np.zeros(len(month), np.int64)
+        path[-1] = int(best.argmin())
+        for t in range(len(month) - 1, 0, -1):
+            path[t - 1] = came[t, path[t]]
+        zone = pa.array([candidates[k] for k in path])
+        yield pa.RecordBatch.from_arrays([table.column("station_id").combine_chunks()[:1].take(pa.array(np.zeros(len(month), np.int64))), pa.array(month, pa.int32()), zone, pa.array(cost[np.arange(len(month)), path].astype(np.int64))], names=["station_id", "month", "zone_estimate", "violations"])
+
+    # a station has one row a month and candidate
+    return counted.groupBy("station_id").applyInArrow(history, "station_id string, month int, zone_estimate string, violations bigint")
 
 
 def normalised(instants: DataFrame) -> DataFrame:

@@ -6,18 +6,20 @@ its hidden state: a smooth underlying level makes jumps of the log value costly,
 so a unit switch is decoded where only a switch keeps the level smooth. Stated
 units are certain evidence. Decoding is Viterbi in max-plus matrix form: chain
 products of K x K score matrices, computed by a segmented scan over whole
-vectors, in range partitions that may cut a device anywhere; only one pair of
-K x K products per partition is exchanged.
+vectors, in range partitions that may cut a device anywhere. Partitions exchange
+a pair of K x K products each, which are combined in two levels of tasks (blocks
+of partitions, then the blocks), so the driver sees none of them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ NEVER = -1e9
 #: Log-score of one unit of log-level change, of a switch, and of a unit that isn't the common one.
 JUMP, SWITCH, UNCOMMON = 4.0, 4.0, 1.0
 ROWS_A_PARTITION = 50_000
+#: Score matrices a partition holds at once, as numbers: fields with many units get fewer rows a partition.
+MOST_NUMBERS = 4_000_000
 #: Rows scanned at once.
 BLOCK = 8192
 
@@ -153,13 +157,12 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
     sized = named.join(common, (named.field == F.col("_f")) & (named.stated_unit == F.col("_u"))).groupBy("_f").agg(F.percentile_approx(F.abs(F.col("value") * F.col("factor") + F.col("shift")), 0.5, 1000).alias("scale"))
     named = named.join(sized, named.field == sized._f, "left").drop("_f")
     named = named.withColumn("series", F.xxhash64("station_id", "field"))
+    k = known.width
+    rows_a_partition = max(1, min(rows_a_partition, MOST_NUMBERS // (k * k)))
     parts = max(1, math.ceil(observations.count() / rows_a_partition))
     order = ["series", "at", "obs_id", "value"]
-    chain = checkpointed(named.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-
-    # one row per partition: its first and last device and level, and the products of both chains
-    k = known.width
-    edge = "part int, rows bigint, first bigint, last bigint, first_level array<double>, last_level array<double>, head array<double>, tail array<double>, whole boolean"
+    placed = named.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    chain = checkpointed(placed.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _read(batches)
@@ -172,31 +175,28 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
         first_end = starts[1] if len(starts) > 1 else len(r.series)
         head = _scan(matrix[1:first_end])[-1] if first_end > 1 else np.where(np.eye(k) > 0, 0.0, 4 * NEVER)
         tail = _scan(matrix[starts[-1] :])[-1]
-        yield pa.RecordBatch.from_pylist(
-            [{"part": TaskContext.get().partitionId(), "rows": len(r.series), "first": int(r.series[0]), "last": int(r.series[-1]), "first_level": r.level[0].tolist(), "last_level": r.level[-1].tolist(), "head": [*r.score[0], *head.ravel()], "tail": tail.ravel().tolist(), "whole": len(starts) == 1}],
-            schema=pa.schema([("part", pa.int32()), ("rows", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), *((c, pa.list_(pa.float64())) for c in ("first_level", "last_level", "head", "tail")), ("whole", pa.bool_())]),
-        )
+        end = _End(table.column("part")[0].as_py(), int(r.series[0]), int(r.series[-1]), r.level[0], r.level[-1], r.score[0], head, tail, len(starts) == 1)
+        yield _as_batch([end])
 
-    ends = sorted(chain.mapInArrow(edges, edge).collect(), key=lambda e: e.part)  # one row a partition
-    entry, leave = _messages(ends, k)
+    ends = written(chain.mapInArrow(edges, END), "ends").withColumn("block", F.floor(F.col("part") / math.ceil(math.sqrt(parts))).cast("int"))
+    messages = _exchanged(ends, k)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _read(batches)
-        if table is None:
-            return
-        part = TaskContext.get().partitionId()
+    def decode(table: pa.Table, message: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _NOTHING
+        table = table.sort_by("place")
         r = _Rows(table, known)
-        before = entry.get(part)
-        matrix, new = _steps(r.series, r.level, r.score, before and (before[0], np.array(before[1])))
-        if before and before[0] == r.series[0]:
-            matrix[0] = (np.array(before[2])[:, None] + matrix[0]).max(axis=0)[None, :]
+        told = message.to_pylist()[0] if message.num_rows else {}
+        before = (r.series[0], np.array(told["level"]), np.array(told["alpha"])) if told.get("alpha") else None
+        matrix, new = _steps(r.series, r.level, r.score, before and before[:2])
+        if before:
+            matrix[0] = (before[2][:, None] + matrix[0]).max(axis=0)[None, :]
         forward = _segmented(matrix, new | (np.arange(len(new)) == 0))
         # backward: the same chains from the other end
         to_next = np.zeros_like(matrix)
         to_next[:-1] = np.where(new[1:, None, None], 0.0, matrix[1:])
-        after = leave.get(part)
-        if after and after[0] == r.series[-1]:
-            to_next[-1] = np.repeat(np.array(after[1])[:, None], k, axis=1)
+        if told.get("beta"):
+            to_next[-1] = np.repeat(np.array(told["beta"])[:, None], k, axis=1)
         last = np.append(new[1:], True)
         backward = _segmented(to_next.transpose(0, 2, 1)[::-1], last[::-1])[::-1]
         # rounded, so that equal paths give the first state however the chain was cut
@@ -208,18 +208,17 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
         stated = table.column("stated_unit").combine_chunks()
         code = np.where(covered, names[r.field, state], None)
         basis = table.column("basis").combine_chunks()
-        out = pa.RecordBatch.from_arrays(
+        return pa.Table.from_arrays(
             [
                 *(table.column(c).combine_chunks() for c in ("obs_id", "station_id", "field", "value")),
                 pa.compute.if_else(pa.compute.is_valid(stated), basis, pa.array(np.where(covered, "decoded", None), pa.string())),
                 pa.array(code, pa.string()),
                 pa.array(np.where(covered, r.common[rows, state], 0.0), mask=~covered),
             ],
-            names=["obs_id", "station_id", "field", "value", "basis", "unit_code", "common"],
+            schema=_NOTHING.schema,
         )
-        yield out
 
-    decoded = chain.mapInArrow(decode, "obs_id bigint, station_id string, field string, value double, basis string, unit_code string, common double")
+    decoded = chain.groupBy("part").cogroup(messages.groupBy("part")).applyInArrow(decode, "obs_id bigint, station_id string, field string, value double, basis string, unit_code string, common double")
     flags = spark.createDataFrame([(f, c, bool(known.prior[i, j] == 0.0)) for i, f in enumerate(known.fields) for j, c in enumerate(known.codes[f])], "_f string, _u string, is_common boolean")
     return decoded.join(F.broadcast(flags), (F.col("field") == F.col("_f")) & (F.col("unit_code") == F.col("_u")), "left").select("obs_id", "station_id", "field", "value", "basis", "unit_code", "is_common", "common")
 
@@ -245,31 +244,108 @@ def _segmented(matrix: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def _messages(ends: list, k: int) -> tuple[dict, dict]:
-    """Per partition: (device, level, scores) that come in from before, and (device, scores) from after."""
+class _End(NamedTuple):
+    """What a run of rows shows to its neighbours: its first and last device and level, the first row's scores, the products of
+    its first device's chain after that row (head) and of its last device's (tail), and whether it holds one device only."""
+
+    part: int
+    first: int
+    last: int
+    first_level: np.ndarray
+    last_level: np.ndarray
+    score: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    whole: bool
+
+
+_VECTORS = ("first_level", "last_level", "score", "head", "tail")
+END = "part int, first bigint, last bigint, first_level array<double>, last_level array<double>, score array<double>, head array<double>, tail array<double>, whole boolean"
+_END_SCHEMA = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), *((c, pa.list_(pa.float64())) for c in _VECTORS), ("whole", pa.bool_())])
+_NOTHING = pa.schema([("obs_id", pa.int64()), ("station_id", pa.string()), ("field", pa.string()), ("value", pa.float64()), ("basis", pa.string()), ("unit_code", pa.string()), ("common", pa.float64())]).empty_table()
+_MESSAGE = pa.schema([("part", pa.int32()), *((c, pa.list_(pa.float64())) for c in ("level", "alpha", "beta"))])
+
+
+def _as_batch(ends: list[_End]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{**e._asdict(), **{c: getattr(e, c).ravel().tolist() for c in _VECTORS}} for e in ends], schema=_END_SCHEMA)
+
+
+def _ends(table: pa.Table, k: int) -> list[_End]:
+    """The ends of a table in the order of their parts."""
+    shaped = lambda r: {c: np.array(r[c]).reshape(k, k) if c in ("head", "tail") else np.array(r[c]) for c in _VECTORS}
+    return [_End(**({f: r[f] for f in _End._fields} | shaped(r))) for r in sorted(table.to_pylist(), key=lambda r: r["part"])]
+
+
+def _joined(a: _End, b: _End) -> _End:
+    """Two adjacent runs as one; products are taken relative to their best entry."""
+    one = lambda x, y: (x[:, :, None] + y[None, :, :]).max(axis=1)
+    level = lambda m: m - m.max()
+    head, tail = a.head, b.tail
+    if a.last == b.first:
+        link = _link(a.last_level, b.first_level, b.score)
+        if a.whole:
+            head = level(one(one(a.head, link), b.head))
+        if b.whole:
+            tail = level(one(one(a.tail, link), b.head))
+    return _End(a.part, a.first, b.last, a.first_level, b.last_level, a.score, head, tail, a.whole and b.whole and a.last == b.first)
+
+
+def _exchanged(ends: DataFrame, k: int) -> DataFrame:
+    """part, level and alpha (what the part before says), beta (what the part after says) of every part, NULL where its device doesn't go on.
+
+    Blocks of parts are joined to one end each, messages are passed along the
+    blocks (one row a block, in one task), then along the parts of each block."""
+
+    def as_one(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        whole = functools.reduce(_joined, _ends(table, k))
+        return pa.Table.from_batches([_as_batch([whole._replace(part=block)])])
+
+    def along(table: pa.Table) -> pa.Table:
+        return _messages(_ends(table, k), None, None)
+
+    def within(table: pa.Table, message: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _MESSAGE.empty_table()
+        held = _ends(table, k)
+        told = message.to_pylist()[0] if message.num_rows else {}
+        before = (held[0].first, np.array(told["level"]), np.array(told["alpha"])) if told.get("alpha") else None
+        return _messages(held, before, np.array(told["beta"]) if told.get("beta") else None)
+
+    shape = "part int, level array<double>, alpha array<double>, beta array<double>"
+    blocks = ends.groupBy("block").applyInArrow(as_one, END)
+    among = blocks.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(along, shape)  # as many rows as the root of the number of parts
+    return ends.groupBy("block").cogroup(among.withColumnRenamed("part", "block").groupBy("block")).applyInArrow(within, shape)
+
+
+def _messages(ends: list[_End], before: tuple | None, after: np.ndarray | None) -> pa.Table:
+    """The messages of a row of runs; `before` (device, level, scores) and `after` (scores at the last row) come from outside."""
     entry, leave = {}, {}
-    carry = None
+    carry = before
     for e in ends:
-        if carry is not None and carry[0] == e.first:
-            entry[e.part] = carry
-        if e.whole and e.part in entry:
-            score, head = np.array(e.head[:k]), np.array(e.head[k:]).reshape(k, k)
-            alpha = (np.array(entry[e.part][2])[:, None] + _link(np.array(entry[e.part][1]), np.array(e.first_level), score)).max(axis=0)
-            alpha = (alpha[:, None] + head).max(axis=0)
-        else:
-            alpha = np.array(e.tail).reshape(k, k).max(axis=0)
-        carry = (e.last, e.last_level, (alpha - alpha.max()).tolist())
-    later = None
-    for e, nxt in zip(reversed(ends), [None, *reversed(ends[1:])], strict=False):  # no partition at all: nothing
-        if nxt is not None and nxt.first == e.last:
-            score, head = np.array(nxt.head[:k]), np.array(nxt.head[k:]).reshape(k, k)
-            beta = head.max(axis=1) if not (nxt.whole and later is not None) else (head + later[None, :]).max(axis=1)
-            back = (_link(np.array(e.last_level), np.array(nxt.first_level), score) + beta[None, :]).max(axis=1)
-            later = back - back.max()
-            leave[e.part] = (e.last, later.tolist())
+        comes = carry if carry is not None and carry[0] == e.first else None
+        if comes is not None:
+            entry[e.part] = comes
+        if e.whole and comes is not None:
+            alpha = (comes[2][:, None] + _link(comes[1], e.first_level, e.score)).max(axis=0)
+            alpha = (alpha[:, None] + e.head).max(axis=0)
         else:
-            later = None
-    return entry, leave
+            alpha = e.tail.max(axis=0)
+        carry = (e.last, e.last_level, alpha - alpha.max())
+    later, nxt = after, None
+    for e in reversed(ends):
+        if nxt is not None:
+            if nxt.first == e.last:
+                beta = (nxt.head + later[None, :]).max(axis=1) if nxt.whole and later is not None else nxt.head.max(axis=1)
+                back = (_link(e.last_level, nxt.first_level, nxt.score) + beta[None, :]).max(axis=1)
+                later = back - back.max()
+            else:
+                later = None
+        if later is not None:
+            leave[e.part] = later
+        nxt = e
+    rows = [{"part": e.part, "level": entry[e.part][1].tolist() if e.part in entry else None, "alpha": entry[e.part][2].tolist() if e.part in entry else None, "beta": leave[e.part].tolist() if e.part in leave else None} for e in ends]
+    return pa.Table.from_pylist(rows, schema=_MESSAGE)
 
 
 def _link(before: np.ndarray, level: np.ndarray, score: np.ndarray) -> np.ndarray:

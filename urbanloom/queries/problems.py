@@ -41,7 +41,19 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p3_estimated(spark: SparkSession, sf: str) -> DataFrame:
     """Times that name no zone, of stations without one, by the estimated zone."""
-    return _instants(spark, sf).where("status = 'no_zone'").select("snapshot_id", "station_id", "zone_estimate", "violations", "estimated_utc")
+    found = instants.with_estimates(_instants(spark, sf), table(spark, sf, "station_zones"))
+    return found.select("snapshot_id", "station_id", "zone_estimate", "violations", "estimated_utc")
+
+
+def p3_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    """How many local times of stations with a zone on record the estimate places right when every zone is hidden from it, in all and by station's rows."""
+    snapshots, zones = table(spark, sf, "sensor_snapshots"), table(spark, sf, "station_zones")
+    known = instants.normalise_instants(snapshots, zones).where("status = 'ok'").select("snapshot_id", "utc_us")
+    hidden = instants.normalise_instants(snapshots, zones.withColumn("tz_name", F.lit(None).cast("string")))
+    guessed = instants.with_estimates(hidden, zones).join(known, "snapshot_id")
+    size = guessed.groupBy("station_id").agg(F.count("*").alias("rows"), F.sum((F.col("estimated_us") == F.col("utc_us")).cast("int")).alias("right"))
+    band = F.when(F.col("rows") < 5, "under 5").when(F.col("rows") < 50, "5 to 49").otherwise("50 and more")
+    return size.groupBy(band.alias("rows_a_station")).agg(F.count("*").alias("stations"), F.sum("rows").alias("rows"), F.coalesce(F.sum("right"), F.lit(0)).alias("right"))
 
 
 def _normal(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,6 +69,16 @@ def p4_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return _normal(spark, sf).where("basis = 'decoded'").select("obs_id", "station_id", "field", "unit_code", F.round("common", 6).alias("common"))
 
 
+def p4_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every field, the stated units that the model decodes right when it isn't told: a tenth of them, drawn by hash, is hidden."""
+    observations, known = table(spark, sf, "observations"), table(spark, sf, "units")
+    truth = units.stated_units(observations.where("value IS NOT NULL AND NOT isnan(value)"), known).where("stated_unit IS NOT NULL").select("obs_id", "stated_unit").distinct()
+    hide = F.pmod(F.xxhash64(F.lit("held out"), "obs_id"), F.lit(10)) == 0
+    untold = observations.withColumns({c: F.when(~hide, F.col(c)) for c in ("unit", "description")})
+    decoded = units.normalise_units(untold, known).where("basis = 'decoded'").join(truth, "obs_id").where(hide)
+    return decoded.groupBy("field").agg(F.count("*").alias("rows"), F.sum((F.col("unit_code") == F.col("stated_unit")).cast("int")).alias("right"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     trees, points, boxes = (table(spark, sf, n) for n in ("trees", "points", "survey_bounds"))
     parts = {
@@ -77,7 +99,7 @@ def p5_station_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return nearby.neighbours(seen, "station_id", ["lon", "lat"], STATION_RADIUS, metric="great_circle")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_points, p2_fields, p2_reasons, p3_found, p3_estimated, p4_found, p4_decoded, p5_found, p5_station_pairs)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_points, p2_fields, p2_reasons, p3_found, p3_estimated, p3_heldout, p4_found, p4_decoded, p4_heldout, p5_found, p5_station_pairs)}
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
