@@ -10,7 +10,12 @@ gives the candidates, which the exact metric decides.
 
 Only distinct positions take part, so rows that share a position, however many,
 cost one; pivots are drawn from distinct positions, so dense areas get more
-cells. Pivots are bounded in number and are the only thing sent to all tasks.
+cells. Pivots are bounded in number and are the only thing sent to all tasks;
+where they don't suffice, cells are sliced by a hash of the position and probes
+go to every slice, so a task holds no more however many rows there are.
+
+On the sphere all bounds are taken on chords through it, a true metric that is
+well conditioned everywhere; arcs only decide.
 """
 
 from __future__ import annotations
@@ -30,8 +35,12 @@ EARTH_RADIUS = 6_371_008.8
 #: Distinct positions that a cell should hold, and the most pivots (96 bytes each at most go to every task).
 CELL_ROWS, MAX_PIVOTS = 12_000, 65_536
 LEAF = 48
-#: Slack of all pruning, so that rounding of a bound never loses a pair; the exact test has none.
+#: Slack of all pruning (units of the coordinates; metres on the sphere, where chords are exact to 1e-8), so that rounding of a bound never loses a pair; the exact test has none.
 SLACK = 1e-6
+#: Rows of a result that a task holds before it hands them on.
+OUT_ROWS = 100_000
+#: A box is asked for in at most so many pieces along its longer side.
+PIECES = 64
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,14 +51,30 @@ def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _half_chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The squared half chord of the unit sphere between stacks of (lon, lat) in degrees (the haversine)."""
+    lat1, lat2 = np.radians(a[..., 1]), np.radians(b[..., 1])
+    return np.square(np.sin((lat2 - lat1) / 2)) + np.cos(lat1) * np.cos(lat2) * np.square(np.sin(np.radians(b[..., 0] - a[..., 0]) / 2))
+
+
 def great_circle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Haversine distances in metres of (lon, lat) in degrees."""
+    """Distances in metres along the sphere of (lon, lat) in degrees, by both half chords (to the point and to its antipode), so exact near either."""
     lat1, lat2 = np.radians(a[..., 1]), np.radians(b[..., 1])
-    h = np.square(np.sin((lat2 - lat1) / 2)) + np.cos(lat1) * np.cos(lat2) * np.square(np.sin(np.radians(b[..., 0] - a[..., 0]) / 2))
-    return 2 * EARTH_RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+    far = np.square(np.sin((lat2 + lat1) / 2)) + np.cos(lat1) * np.cos(lat2) * np.square(np.cos(np.radians(b[..., 0] - a[..., 0]) / 2))
+    return 2 * EARTH_RADIUS * np.arctan2(np.sqrt(_half_chord(a, b)), np.sqrt(far))
+
+
+def chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances in metres through the sphere of (lon, lat) in degrees."""
+    return 2 * EARTH_RADIUS * np.sqrt(np.minimum(_half_chord(a, b), 1.0))
 
 
 METRICS = {"euclidean": euclidean, "great_circle": great_circle}
+#: The metric that bounds are taken in, and a radius of each metric in it.
+BOUNDS = {
+    "euclidean": (euclidean, lambda r: r),
+    "great_circle": (chord, lambda r: 2 * EARTH_RADIUS * np.sin(np.minimum(r / (2 * EARTH_RADIUS), math.pi / 2))),
+}
 
 
 class Pivots:
@@ -59,14 +84,16 @@ class Pivots:
         self.metric = metric
         coarse = max(1, round(math.sqrt(len(positions))))
         self.coarse = positions[:coarse]
-        near = METRICS[metric](positions[:, None, :], self.coarse[None, :, :]).argmin(axis=1)
+        step = max(1, 2_000_000 // coarse)
+        near = np.concatenate([BOUNDS[metric][0](positions[k : k + step][:, None, :], self.coarse[None, :, :]).argmin(axis=1) for k in range(0, len(positions), step)])
         self.fine = [positions[near == a] for a in range(coarse)]
         self.fine = [f if len(f) else self.coarse[a : a + 1] for a, f in enumerate(self.fine)]
         self.offset = np.cumsum([0, *(len(f) for f in self.fine)])
 
     def place(self, at: np.ndarray, radius: np.ndarray, home: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, cell and whether it is the row's own cell, for the own cell (`home`) and all that its ball may reach."""
-        distance = METRICS[self.metric]
+        distance, as_bound = BOUNDS[self.metric]
+        radius = as_bound(radius)
         first = distance(at[:, None, :], self.coarse[None, :, :])
         own, reach = first.argmin(axis=1), first.min(axis=1) + 2 * radius + SLACK
         rows, cells, mine = [], [], []
@@ -90,10 +117,10 @@ class Pivots:
         return np.concatenate(rows), np.concatenate(cells), np.concatenate(mine)
 
 
-def tree_join(index: np.ndarray, probe: np.ndarray, radius: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
-    """All (probe, index) places with distance <= radius, by a vantage-point tree that is built as it is searched."""
-    distance = METRICS[metric]
-    found_p, found_i = [], []
+def tree_join(index: np.ndarray, probe: np.ndarray, radius: np.ndarray, metric: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (probe, index) places with distance <= radius, in blocks, by a vantage-point tree that is built as it is searched."""
+    exact, (distance, as_bound) = METRICS[metric], BOUNDS[metric]
+    bound = as_bound(radius) + SLACK
     stack = [(np.arange(len(index)), np.arange(len(probe)))]
     while stack:
         inside, asking = stack.pop()
@@ -105,18 +132,15 @@ def tree_join(index: np.ndarray, probe: np.ndarray, radius: np.ndarray, metric:
             middle = np.partition(to_index, len(inside) // 2)[len(inside) // 2]
             near = to_index < middle
             if near.any():
-                to_probe, reach = distance(probe[asking], vantage[None, :]), radius[asking] + SLACK
+                to_probe, reach = distance(probe[asking], vantage[None, :]), bound[asking]
                 stack.append((inside[near], asking[to_probe - reach < middle]))
                 stack.append((inside[~near], asking[to_probe + reach >= middle]))
                 continue
         for begin in range(0, len(asking), max(1, 2_000_000 // len(inside))):
             part = asking[begin : begin + max(1, 2_000_000 // len(inside))]
-            hit_p, hit_i = np.nonzero(distance(probe[part][:, None, :], index[inside][None, :, :]) <= radius[part][:, None])
-            found_p.append(part[hit_p])
-            found_i.append(inside[hit_i])
-    if not found_p:
-        return np.array([], np.int64), np.array([], np.int64)
-    return np.concatenate(found_p), np.concatenate(found_i)
+            hit_p, hit_i = np.nonzero(exact(probe[part][:, None, :], index[inside][None, :, :]) <= radius[part][:, None])
+            if len(hit_p):
+                yield part[hit_p], inside[hit_i]
 
 
 def _choose_pivots(positions: DataFrame, names: list[str], rows: int, metric: str, cell_rows: int = CELL_ROWS) -> Pivots | None:
@@ -138,7 +162,12 @@ def _matrix(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
     return np.column_stack([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).to_numpy(zero_copy_only=False) for c in columns]).astype(float)
 
 
-def radius_pairs(index: DataFrame, coordinates: list[str], rows: int, probes: DataFrame | None = None, radius: float | None = None, metric: str = "euclidean") -> DataFrame:
+def _batch(blocks: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    whole = np.vstack(blocks)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(whole[:, k])) for k in range(whole.shape[1])], names=names)
+
+
+def radius_pairs(index: DataFrame, coordinates: list[str], rows: int, probes: DataFrame | None = None, radius: float | None = None, metric: str = "euclidean", boxes: list[str] | None = None, distinct: bool = False, slice_rows: int = MAX_PIVOTS * CELL_ROWS) -> DataFrame:
     """Pairs of distinct positions at most a radius apart.
 
     `index` holds positions in the columns `coordinates`; `rows` is about how
@@ -146,7 +175,9 @@ def radius_pairs(index: DataFrame, coordinates: list[str], rows: int, probes: Da
     itself at `radius`: the result has a_<c> and b_<c> per coordinate c, the
     smaller position first, no position with itself. With `probes` (columns
     `coordinates`, `r`, and any others, all double), the result has i_<c> for
-    index positions and all probe columns.
+    index positions and all probe columns; with `boxes` (the probe columns of the
+    low sides, then of the high sides) only positions inside the closed box come
+    out. `distinct` says that index positions are usable and distinct already.
 
     Defined results: positions with a NULL or NaN coordinate are in no pair, nor
     are probes with a NULL, NaN or negative radius; repeated positions count
@@ -154,12 +185,14 @@ def radius_pairs(index: DataFrame, coordinates: list[str], rows: int, probes: Da
     """
     usable = lambda df, names: df.where(" AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in names))
     d = len(coordinates)
-    index = usable(index.select(*(F.col(c).cast("double").alias(c) for c in coordinates)), coordinates)
+    index = index.select(*(F.col(c).cast("double").alias(c) for c in coordinates))
+    index = index if distinct else usable(index, coordinates)
     pivots = _choose_pivots(index, coordinates, rows, metric)
     carried = [*coordinates, "r"] if probes is None else [c for c in probes.columns]
     extra = [c for c in carried if c not in coordinates and c != "r"]
     order = [*coordinates, "r", *extra]
-    ours = index.distinct()
+    ours = index if distinct else index.distinct()
+    slices = max(1, math.ceil(rows / slice_rows))
     if probes is None:
         ours = ours.withColumn("r", F.lit(float(radius)))
     else:
@@ -190,28 +223,46 @@ def radius_pairs(index: DataFrame, coordinates: list[str], rows: int, probes: Da
                 at = values[own_rows]
                 reach = at[:, d] if alone or not side else np.zeros(len(at))
                 row, cell, mine = pivots.place(at[:, :d], reach, side)
+                if slices > 1:  # an index row has one slice of its cell, a probe has all
+                    home = (np.ascontiguousarray(at[:, :d]).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).sum(axis=1) % np.uint64(slices)
+                    every = np.tile(np.arange(slices), len(row))
+                    row, cell, mine = (np.repeat(v, slices) for v in (row, cell, mine))
+                    cell, mine = cell * slices + every, mine & (home[row] == every)
                 if side and not alone:
                     row, cell, mine = row[mine], cell[mine], mine[mine]
                 out = at[row]
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(np.full(len(row), side)), pa.array(mine), *(pa.array(out[:, k]) for k in range(len(order)))], schema=placed_schema)
 
-    def join(cell: pa.Table) -> pa.Table:
+    places = [order.index(c) for c in boxes or []]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(batches))
         values = _matrix(cell, order)
         own = cell.column("own").to_numpy(zero_copy_only=False)
         at = values[own][:, :d]
         asking = values if alone else values[~own]
-        p, i = tree_join(at, asking[:, :d], asking[:, d], metric)
-        if alone:
-            a, b = asking[p][:, :d], at[i]
-            smaller = np.zeros(len(a), bool)
-            tied = np.ones(len(a), bool)
-            for k in range(d):
-                smaller |= tied & (a[:, k] < b[:, k])
-                tied &= a[:, k] == b[:, k]
-            out = np.hstack([a[smaller], b[smaller]])
-        else:
-            out = np.hstack([at[i], asking[p]])
-        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(out.shape[1])], names=names_out)
+        held, count = [], 0
+        for p, i in tree_join(at, np.ascontiguousarray(asking[:, :d]), asking[:, d], metric):
+            if alone:
+                a, b = asking[p][:, :d], at[i]
+                smaller = np.zeros(len(a), bool)
+                tied = np.ones(len(a), bool)
+                for k in range(d):
+                    smaller |= tied & (a[:, k] < b[:, k])
+                    tied &= a[:, k] == b[:, k]
+                out = np.hstack([a[smaller], b[smaller]])
+            else:
+                for k, c in enumerate(places[: len(places) // 2]):
+                    inside = (at[i, k] >= asking[p, c]) & (at[i, k] <= asking[p, places[k + len(places) // 2]])
+                    p, i = p[inside], i[inside]
+                out = np.hstack([at[i], asking[p]])
+            held.append(out)
+            count += len(out)
+            if count >= OUT_ROWS:
+                yield _batch(held, names_out)
+                held, count = [], 0
+        if count:
+            yield _batch(held, names_out)
 
     placed = sides.mapInArrow(place, f"cell int, indexed boolean, own boolean, {fields}")
     return placed.groupBy("cell").applyInArrow(join, result)
@@ -230,17 +281,19 @@ def neighbours(rows: DataFrame, key: str, coordinates: list[str], radius: float,
     group = F.col(apart) if apart else F.col(key)
     held = rows.select(F.col(key).cast("string").alias("id"), group.cast("string").alias("apart"), *(F.col(c).cast("double").alias(c) for c in coordinates))
     held = held.where(" AND ".join(["id IS NOT NULL", "apart IS NOT NULL", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in coordinates)]))
-    count = rows.count()
-    pairs = radius_pairs(held, coordinates, count, radius=radius, metric=metric)
-    # positions that hold several rows pair with themselves
+    # every position once, and whether several groups share it
     mark = F.xxhash64("apart")
-    shared = held.groupBy(*coordinates).agg((F.min(mark) != F.max(mark)).alias("several")).where("several")
-    shared = shared.select(*(F.col(c).alias(f"a_{c}") for c in coordinates), *(F.col(c).alias(f"b_{c}") for c in coordinates))
+    spots = written(held.groupBy(*coordinates).agg((F.min(mark) != F.max(mark)).alias("several")), "positions")
+    pairs = radius_pairs(spots, coordinates, spots.count(), radius=radius, metric=metric, distinct=True)
+    # positions that hold several rows pair with themselves
+    shared = spots.where("several").select(*(F.col(c).alias(f"a_{c}") for c in coordinates), *(F.col(c).alias(f"b_{c}") for c in coordinates))
     pairs = written(pairs.unionByName(shared), "pairs")
+    side = lambda p: pairs.select(*(F.col(f"{p}_{c}").alias(c) for c in coordinates))
+    # the rows at the positions of any pair, read in one pass
+    touched = written(held.join(side("a").union(side("b")).distinct(), coordinates).distinct(), "touched")
     out = pairs
-    for side in "ab":
-        theirs = held.select(F.col("id").alias(f"{side}_id"), F.col("apart").alias(f"{side}_apart"), *(F.col(c).alias(f"{side}_{c}") for c in coordinates))
-        out = out.join(theirs, [f"{side}_{c}" for c in coordinates])
+    for p in "ab":
+        out = out.join(touched.select(F.col("id").alias(f"{p}_id"), F.col("apart").alias(f"{p}_apart"), *(F.col(c).alias(f"{p}_{c}") for c in coordinates)), [f"{p}_{c}" for c in coordinates])
     out = out.where("a_id != b_id AND a_apart != b_apart")
     return out.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")).distinct()
 
@@ -255,15 +308,23 @@ def _hypotenuse(*sides: Column) -> Column:
 def containing_boxes(rows: DataFrame, key: str, boxes: DataFrame, box_key: str) -> DataFrame:
     """a_id and b_id of every row (columns x, y) and box (xmin, ymin, xmax, ymax) that holds it, edges included.
 
-    A box is asked for as the ball around it, then tested exactly. Defined
-    results: rows with a NULL or NaN x or y, and boxes with a NULL or NaN side or
-    reversed sides, are in no pair; each pair comes once; extra columns are left
-    out; an empty side gives an empty result.
+    A box is asked for as the balls around its pieces, about as long as wide (at
+    most PIECES); positions in a ball are tested against the box before they
+    come out. Defined results: rows with a NULL or NaN x or y, and boxes with a
+    NULL or NaN side or reversed sides, are in no pair; each pair comes once;
+    extra columns are left out; an empty side gives an empty result.
     """
     sides = ["xmin", "ymin", "xmax", "ymax"]
     whole = boxes.select(F.col(box_key).cast("string").alias("b_id"), *(F.col(c).cast("double").alias(c) for c in sides)).where(" AND ".join(["b_id IS NOT NULL", "xmin <= xmax", "ymin <= ymax", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in sides)]))
     held = rows.select(F.col(key).cast("string").alias("a_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("a_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
-    balls = whole.select(((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"), (_hypotenuse(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / 2 * (1 + 1e-12) + SLACK).alias("r"), *sides)
-    near = radius_pairs(held.select("x", "y"), ["x", "y"], rows.count(), probes=balls)
-    inside = near.where("i_x BETWEEN xmin AND xmax AND i_y BETWEEN ymin AND ymax").select(F.col("i_x").alias("x"), F.col("i_y").alias("y"), *sides)
+    wide, high = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    pieces = F.least(F.greatest(F.floor(F.greatest(wide, high) / F.greatest(F.least(wide, high), F.lit(1e-300))), F.lit(1)), F.lit(PIECES)).cast("int")
+    cut = whole.select(*sides).distinct().withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    low, size = (F.struct("xmin", "ymin"), F.struct((wide / F.when(wide >= high, F.col("_n")).otherwise(1)).alias("x"), (high / F.when(wide >= high, 1).otherwise(F.col("_n"))).alias("y")))
+    cut = cut.select(*sides, "_k", low.alias("_low"), size.alias("_size"), (wide >= high).alias("_flat"))
+    along = lambda c, flat: F.col(f"_low.{c}min") + F.col(f"_size.{c}") * (F.when(F.col("_flat") == flat, F.col("_k")).otherwise(0) + 0.5)
+    radius = _hypotenuse(F.col("_size.x"), F.col("_size.y")) / 2 * (1 + 1e-9) + SLACK + (F.abs("xmin") + F.abs("xmax") + F.abs("ymin") + F.abs("ymax")) * 1e-15
+    balls = cut.select(along("x", True).alias("x"), along("y", False).alias("y"), radius.alias("r"), *sides)
+    near = radius_pairs(held.select("x", "y"), ["x", "y"], rows.count(), probes=balls, boxes=sides)
+    inside = near.select(F.col("i_x").alias("x"), F.col("i_y").alias("y"), *sides).distinct()
     return inside.join(held, ["x", "y"]).join(whole, sides).select("a_id", "b_id").distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanloom.operators.nearby import METRICS, _choose_pivots, _matrix, radius_pairs
+from urbanloom.plans.tables import written
 
 #: Distinct positions in a cell; small, as all pairs of a cell are looked at.
 CELL_ROWS = 1_000
@@ -29,7 +30,7 @@ def nearest(probes: DataFrame, index: DataFrame, coordinates: list[str], rows: i
     """
     metric = "euclidean"
     usable = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in coordinates)
-    own = index.select(*(F.col(c).cast("double").alias(c) for c in coordinates)).where(usable).distinct()
+    own = written(index.select(*(F.col(c).cast("double").alias(c) for c in coordinates)).where(usable).distinct(), "positions")
     asked = probes.select(*(F.col(c).cast("double").alias(c) for c in coordinates)).where(usable).distinct()
     pivots = _choose_pivots(own, coordinates, rows, metric, CELL_ROWS)
     fields = ", ".join(f"{c} double" for c in coordinates)
@@ -60,7 +61,7 @@ def nearest(probes: DataFrame, index: DataFrame, coordinates: list[str], rows: i
 
     sides = own.withColumn("indexed", F.lit(True)).unionByName(asked.withColumn("indexed", F.lit(False))).select("indexed", *coordinates)
     bounded = sides.mapInArrow(place, f"cell int, indexed boolean, {fields}").groupBy("cell").applyInArrow(bound, f"{fields}, r double")
-    pairs = radius_pairs(own, coordinates, rows, probes=bounded, metric=metric)
+    pairs = radius_pairs(own, coordinates, rows, probes=bounded, metric=metric, distinct=True)
     total = F.lit(0.0)
     for c in coordinates:
         total = total + (F.col(c) - F.col(f"i_{c}")) * (F.col(c) - F.col(f"i_{c}"))
