@@ -6,11 +6,13 @@ words, or of the whole item where that is shorter). Item shingles are ordered
 by how rare they are in the whole corpus; a window's prefix is its rarest
 shingle, which any document that holds the window must hold. Only prefixes are
 joined with the corpus, length and position bounds drop what can't hold a
-window, and the rest is verified word by word.
+window, and the rest is verified word by word. A text travels once per item that
+it may hold, whatever the number of places.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,6 +22,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from urbanloom.plans.tables import written
 
@@ -27,12 +30,19 @@ WINDOW, SHINGLE = 13, 5
 #: What a reader doesn't see: format characters, variation selectors, fillers.
 UNSEEN = regex.compile(r"[\p{Cf}\p{Variation_Selector}͏ᅟᅠ឴឵ㅤﾠ]")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+PLAIN_WORD = re.compile(r"[a-z0-9]+")
+#: Up to so many item shingles (8 bytes each) go to the workers, which then leave out the corpus shingles that no item has; the join that follows does it in any case.
+MOST_SENT = 1 << 20
+#: Places of an item in a text that are verified together.
+PLACES = 1_000
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text as a reader sees them: case, width, composition, signs and unseen characters make no difference."""
     if not text:
         return []
+    if text.isascii():  # nothing to compose, fold or leave out
+        return PLAIN_WORD.findall(text.lower())
     folded = unicodedata.normalize("NFKC", UNSEEN.sub("", text)).casefold()
     return WORD.findall(UNSEEN.sub("", unicodedata.normalize("NFKC", folded)))
 
@@ -49,27 +59,44 @@ def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-def shingled(texts: DataFrame, key: str, sizes: list[int] | None) -> DataFrame:
-    """key, n_words, at, shingle: every run of words of the given sizes, or of min(SHINGLE, n_words) words where sizes is None."""
-    schema = pa.schema([("key", pa.int64()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("shingle", pa.list_(pa.int64()))])
+def shingled(texts: DataFrame, key: str, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
+    """key, n_words, at, shingle: every run of words of the given sizes, or of min(SHINGLE, n_words) words where sizes is None; only those of `wanted` (sorted), if given."""
+    kind = texts.schema[key].dataType
+    schema = pa.schema([("key", to_arrow_type(kind)), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("shingle", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
-            known: dict[str, int] = {}
-            rows = []
-            for key_, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = words(text.as_py())
-                for w in own:
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w)
-                hashes = np.fromiter((known[w] for w in own), np.uint64, len(own))
-                made = [_shingles(hashes, s) for s in (sizes or [min(SHINGLE, len(own))] if own else [])]
-                rows.append((key_, len(own), np.concatenate([np.arange(len(m), dtype=np.int32) for m in made]) if made else [], np.concatenate(made) if made else []))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    made = texts.select(F.col(key).cast("bigint").alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    arrays = made.mapInArrow(run, "key bigint, n_words int, at array<int>, shingle array<bigint>")
+            for begin in range(0, batch.num_rows, 256):  # long texts have many shingles
+                yield one(batch.slice(begin, 256), known)
+
+    def one(batch: pa.RecordBatch, known: dict[str, int]) -> pa.RecordBatch:
+        counts, ats, shingles, sizes_of = [], [], [], []
+        if len(known) > 1_000_000:
+            known.clear()
+        for text in batch.column(1):
+            own = words(text.as_py())
+            for w in own:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            hashes = np.fromiter((known[w] for w in own), np.uint64, len(own))
+            made = [_shingles(hashes, s) for s in (sizes or [min(SHINGLE, len(own))] if own else [])]
+            at = np.concatenate([np.arange(len(m), dtype=np.int32) for m in made]) if made else np.empty(0, np.int32)
+            all_made = np.concatenate(made) if made else np.empty(0, np.int64)
+            if wanted is not None:
+                place = np.searchsorted(wanted, all_made)
+                kept = np.flatnonzero(wanted[np.minimum(place, len(wanted) - 1)] == all_made) if len(wanted) else np.empty(0, int)
+                at, all_made = at[kept], all_made[kept]
+            counts.append(len(own))
+            sizes_of.append(len(at))
+            ats.append(at)
+            shingles.append(all_made)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes_of)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(v) if v else np.empty(0, t))) for v, t in ((ats, np.int32), (shingles, np.int64))]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int32()), *lists], schema=schema)
+
+    made = texts.select(F.col(key).alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    arrays = made.mapInArrow(run, f"key {kind.simpleString()}, n_words int, at array<int>, shingle array<bigint>").where("size(at) > 0")
     return arrays.select("key", "n_words", F.inline(F.arrays_zip("at", "shingle")))
 
 
@@ -78,8 +105,8 @@ def leaks(documents: DataFrame, items: DataFrame, document_key: str = "doc_id",
 
     Defined results: NULL or wordless texts leak nothing and hold nothing; an
     item repeated under several keys is reported under each; documents of any
-    length are read whole; extra columns are left out; an empty side gives an
-    empty result.
+    length are read whole; keys keep their type, NULL keys are left out; extra
+    columns are left out; an empty side gives an empty result.
     """
     item_shingles = shingled(items, item_key, None).withColumn("m", F.col("n_words")).withColumn("size", F.least(F.lit(SHINGLE), "n_words")).withColumn("need", F.least(F.lit(window), "n_words"))
     item_shingles = written(item_shingles, "item-shingles")
@@ -87,7 +114,10 @@ def leaks(documents: DataFrame, items: DataFrame, document_key: str = "doc_id",
     if not sizes:
         sizes = [SHINGLE]
     # the places of the corpus where any item shingle stands; a semi-join, no pairs
-    hits = shingled(documents, document_key, sizes).join(item_shingles.select("shingle").distinct(), "shingle", "left_semi")
+    kinds = item_shingles.select("shingle").distinct()
+    some = [r[0] for r in kinds.limit(MOST_SENT + 1).collect()]
+    wanted = np.sort(np.array(some, np.int64)) if len(some) <= MOST_SENT else None
+    hits = shingled(documents, document_key, sizes, wanted).join(kinds, "shingle", "left_semi")
     hits = written(hits.select("key", "n_words", "at", "shingle"), "hits")
     rarity = hits.groupBy("shingle").agg(F.count("*").alias("df"))
     # the rarest shingle of every window of every item
@@ -102,29 +132,35 @@ def leaks(documents: DataFrame, items: DataFrame, document_key: str = "doc_id",
     first = F.greatest(F.col("offset") - F.col("need") + F.col("size"), F.lit(0), F.col("offset") - F.col("at"))
     last = F.least(F.col("offset"), F.col("m") - F.col("need"), F.col("n_words") - F.col("need") + F.col("offset") - F.col("at"))
     candidates = hits.join(prefixes, "shingle").where((first <= last) & (F.col("n_words") >= F.col("need"))).select("key", "item", "need", (F.col("at") - F.col("offset")).alias("shift")).distinct()
-    candidates = written(candidates, "candidates")
-    texts = documents.select(F.col(document_key).cast("bigint").alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
-    asked = items.select(F.col(item_key).cast("bigint").alias("item"), F.col("text").cast("string").alias("item_text"))
-    both = texts.join(candidates, "key").join(asked, "item").select("key", "text", "item", "item_text", "need", "shift")
+    # one row per document and item, its places in bounded lists
+    place = F.row_number().over(Window.partitionBy("key", "item").orderBy("shift"))
+    grouped = candidates.withColumn("chunk", F.floor(place / PLACES)).groupBy("key", "item", "need", "chunk").agg(F.collect_list("shift").alias("shifts"))
+    candidates = written(grouped.drop("chunk"), "candidates")
+    texts = documents.select(F.col(document_key).alias("key"), F.col("text").cast("string").alias("text")).where("key IS NOT NULL AND text IS NOT NULL")
+    asked = items.select(F.col(item_key).alias("item"), F.col("text").cast("string").alias("item_text"))
+    both = texts.join(candidates, "key").join(asked, "item").select("key", "text", "item", "item_text", "need", "shifts").sortWithinPartitions("key")
+    kinds_out = [documents.schema[document_key].dataType, items.schema[item_key].dataType]
+    schema = pa.schema([(n, to_arrow_type(k)) for n, k in zip(("key", "item"), kinds_out, strict=True)])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, [])
         seen: dict = {}
         for batch in batches:
-            found = []
-            for key, text, item, item_text, need, shift in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            hit = []
+            for key, text, item, item_text, need, shifts in zip(*(batch.column(k) for k in range(6)), strict=True):
+                key, item = key.as_py(), item.as_py()
                 if held[0] != key:
-                    held = (key, words(text))
+                    held = (key, words(text.as_py()))
                 if item not in seen:
                     if len(seen) > 4096:
                         seen.clear()
-                    seen[item] = words(item_text)
-                if _longest_run(held[1], seen[item], shift) >= need:
-                    found.append((key, item))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["key", "item"])
+                    seen[item] = words(item_text.as_py())
+                hit.append(any(_longest_run(held[1], seen[item], shift) >= need.as_py() for shift in shifts.as_py()))
+            kept = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(2).filter(kept)], schema=schema)
 
-    return both.mapInArrow(verify, "key bigint, item bigint").distinct().select(F.col("key").alias(document_key), F.col("item").alias(item_key))
+    out = both.mapInArrow(verify, f"key {kinds_out[0].simpleString()}, item {kinds_out[1].simpleString()}").distinct()
+    return out.select(F.col("key").alias(document_key), F.col("item").alias(item_key))
 
 
 def _longest_run(text: list[str], item: list[str], shift: int) -> int:

@@ -9,91 +9,44 @@ wanted, is found inside that one bucket.
 
 from __future__ import annotations
 
-import math
-import sys
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urbanloom.functions.buckets import Buckets
+from urbanloom.operators.ranked import SORT_ROWS, between, bucket_ranks, values_at
 from urbanloom.plans.tables import pinned, written
 
-#: Sizes below this count as zero.
-TINY = 1e-12
 #: Relative error of the sketches behind p1: at most 0.2 %.
 ALPHA = 0.002
 
 
-class Buckets:
-    """The bucket scheme of a relative error `alpha`."""
-
-    def __init__(self, alpha: float = ALPHA) -> None:
-        if not 0 < alpha < 1:
-            raise ValueError("alpha must lie between 0 and 1")
-        self.alpha = alpha
-        self.gamma = (1 + alpha) / (1 - alpha)
-        self.log = math.log(self.gamma)
-        self.first = math.ceil(math.log(TINY) / self.log)
-        self.infinite = math.ceil(math.log(sys.float_info.max) / self.log) - self.first + 3
-
-    def of(self, value: Column) -> Column:
-        """The bucket of a value: 0 for zero, else signed and rising with the value; NULL for NULL and NaN."""
-        size = F.abs(value)
-        level = F.when(size == float("inf"), self.infinite).otherwise(F.ceil(F.ln(size) / self.log) - self.first + 1)
-        signed = F.when(size < TINY, 0).otherwise(F.when(value < 0, -level).otherwise(level))
-        return F.when(~F.isnan(value), signed.cast("int"))
-
-    def _edge(self, level: Column) -> Column:
-        return F.when(level >= self.infinite, float("inf")).otherwise(F.exp((level + (self.first - 1)) * self.log))
-
-    def bounds(self, bucket: Column) -> tuple[Column, Column]:
-        """The least and the greatest value that a bucket can hold."""
-        level, slack = F.abs(bucket).cast("double"), 1e-9
-        inner, outer = self._edge(level - 1) * (1 - slack), self._edge(level) * (1 + slack)
-        low = F.when(bucket == 0, -TINY).when(bucket > 0, inner).otherwise(-outer)
-        high = F.when(bucket == 0, TINY).when(bucket > 0, outer).otherwise(-inner)
-        return low, high
-
-    def estimate(self, bucket: Column) -> Column:
-        """The value whose relative distance to all values of the bucket is at most alpha."""
-        middle = self._edge(F.abs(bucket).cast("double")) * (2 / (self.gamma + 1))
-        return F.when(bucket == 0, 0.0).when(bucket > 0, middle).otherwise(-middle)
-
-
 def sketch(rows: DataFrame, keys: list[str], value: str, alpha: float = ALPHA) -> DataFrame:
-    """keys, bucket, n: the sketch of `value` per group. Counts are combined before the shuffle.
+    """keys, bucket, n, alpha: the sketch of `value` per group. Counts are combined before the shuffle.
+
+    A sketch is an ordinary table: one written per day is merged with any other.
 
     Defined results: NULL and NaN values are left out; NULL keys are a group;
     infinite values have buckets of their own; an empty table gives an empty
     sketch; columns other than keys and value are left out.
     """
     held = rows.select(*keys, Buckets(alpha).of(F.col(value).cast("double")).alias("bucket")).where("bucket IS NOT NULL")
-    return held.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    return held.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.lit(float(alpha)).alias("alpha"))
 
 
 def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches of the same alpha, combined to coarser or equal groups: counts of equal buckets add up."""
-    return sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
-
-
-def ranks(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
-    """Per group: n (rows), and per percentile name p: p_low and p_high, the two order statistics
-    of linear interpolation, each a struct of bucket and place (how many rows of the bucket come before it), and p_part."""
-    own = Window.partitionBy(*keys)
-    upto = F.sum("n").over(own.orderBy("bucket"))
-    held = sketches.withColumns({"_upto": upto, "_all": F.sum("n").over(own)})
-    out, before = [F.first("_all").alias("n")], F.col("_upto") - F.col("n")
-    for name, share in at.items():
-        rank = F.lit(share) * (F.col("_all") - 1)
-        for side, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
-            hit = (before <= r) & (r < F.col("_upto"))
-            out.append(F.max(F.when(hit, F.struct("bucket", (r - before).alias("place")))).alias(f"{name}_{side}"))
-        out.append(F.first(rank - F.floor(rank)).alias(f"{name}_part"))
-    return held.groupBy(*keys).agg(*out)
+    """Sketches combined to coarser or equal groups: counts of equal buckets add up. Those of another alpha stay apart, so ranks refuses the mixture."""
+    return sketches.groupBy(*keys, "bucket", "alpha").agg(F.sum("n").alias("n")).select(*keys, "bucket", "n", "alpha")
+
+
+def ranks(sketches: DataFrame, keys: list[str], at: dict[str, float], alpha: float = ALPHA) -> DataFrame:
+    """operators.ranked.bucket_ranks of sketches; the job fails if one was made with another alpha."""
+    of_scheme = F.when(F.col("alpha") == float(alpha), F.col("bucket")).otherwise(F.raise_error(F.lit(f"a sketch has another alpha than {alpha}")).cast("int"))
+    return bucket_ranks(sketches.select(*keys, of_scheme.alias("bucket"), "n"), keys, at)
 
 
 def percentiles(sketches: DataFrame, keys: list[str], at: dict[str, float], alpha: float = ALPHA) -> DataFrame:
     """keys, n, and per percentile name p: p (relative error at most alpha for values of one sign), p_min and p_max (bounds)."""
-    b, held = Buckets(alpha), ranks(sketches, keys, at)
+    b, held = Buckets(alpha), ranks(sketches, keys, at, alpha)
     out = [*keys, "n"]
     for name in at:
         low, high, part = F.col(f"{name}_low.bucket"), F.col(f"{name}_high.bucket"), F.col(f"{name}_part")
@@ -102,7 +55,7 @@ def percentiles(sketches: DataFrame, keys: list[str], at: dict[str, float], alph
     return held.select(*out)
 
 
-def wrong_statistics(rows: DataFrame, row_key: str, value: str, whole: str, part: str, classes: list[str], stats: DataFrame, stats_key: str, published: dict[str, tuple[str, float]], tolerance: float, relative: bool, alpha: float = ALPHA) -> DataFrame:
+def wrong_statistics(rows: DataFrame, row_key: str, value: str, whole: str, part: str, classes: list[str], stats: DataFrame, stats_key: str, published: dict[str, tuple[str, float]], tolerance: float, relative: bool, alpha: float = ALPHA, sort_rows: int = SORT_ROWS) -> DataFrame:
     """The keys of published statistics that differ from the exact percentile by more than `tolerance`.
 
     `stats` has one row per group (whole, part, *classes); a NULL part means the
@@ -119,9 +72,10 @@ def wrong_statistics(rows: DataFrame, row_key: str, value: str, whole: str, part
     b, at = Buckets(alpha), {name: share for name, (_, share) in published.items()}
     keys = [whole, part, *classes]
     held = rows.select(F.col(row_key).alias("_row"), *keys, F.col(value).cast("double").alias("_value")).where("_value IS NOT NULL AND NOT isnan(_value)")
-    fine = sketch(held.distinct(), keys, "_value", alpha)
+    # the rows are read and freed of repeats once; parts and wholes both start from the written sketch
+    fine = written(sketch(held.distinct(), keys, "_value", alpha), "sketch")
     coarse = merged(fine, [whole, *classes]).withColumn(part, F.lit(None).cast("string"))
-    groups = ranks(fine.where(F.col(part).isNotNull()), keys, at).unionByName(ranks(coarse, keys, at))
+    groups = ranks(fine.where(F.col(part).isNotNull()), keys, at, alpha).unionByName(ranks(coarse, keys, at, alpha))
     theirs = stats.select(F.col(stats_key).alias("_id"), *(F.col(k).alias(f"_s_{k}") for k in keys), *(F.col(c).cast("double").alias(f"_pub_{name}") for name, (c, _) in published.items()))
     same = [F.col(f"_s_{k}").eqNullSafe(F.col(k)) for k in keys]
     joined = theirs.join(groups, same)
@@ -145,19 +99,19 @@ def wrong_statistics(rows: DataFrame, row_key: str, value: str, whole: str, part
     judged = written(joined.withColumn("verdict", F.greatest(*verdicts, F.lit(0))).select("_id", "verdict", *keys, *(f"_pub_{n}" for n in published), *(f"{n}_{x}" for n in published for x in ("low", "high", "part"))), "judged")
 
     unsure = judged.where("verdict = 1")
-    wanted = unsure.select("_id", *(F.col(k).alias(f"_s_{k}") for k in keys), F.inline(F.array(*(F.struct(F.lit(f"{n}_{x}").alias("what"), F.col(f"{n}_{x}.bucket").alias("_bucket"), F.col(f"{n}_{x}.place").alias("place")) for n in published for x in ("low", "high")))))
-    bucketed = held.withColumn("bucket", b.of(F.col("_value")))
-    base = [F.col(f"_s_{k}").eqNullSafe(F.col(k)) for k in [whole, *classes]] + [F.col("_bucket") == F.col("bucket")]
-    of_parts = bucketed.join(wanted.where(F.col(f"_s_{part}").isNotNull()), [*base, F.col(f"_s_{part}") == F.col(part)])
-    of_wholes = bucketed.join(wanted.where(F.col(f"_s_{part}").isNull()), base)
-    inside = of_parts.unionByName(of_wholes).select("_id", "what", "place", "_row", "_value").distinct()
-    counted = inside.groupBy("_id", "what", "place", "_value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("_id", "what").orderBy("_value"))
-    chosen = counted.withColumn("_upto", upto).where("_upto > place AND _upto - n <= place").select("_id", "what", "_value")
-    exact = chosen.groupBy("_id").agg(*(F.max(F.when(F.col("what") == f"{n}_{x}", F.col("_value"))).alias(f"_{n}_{x}") for n in published for x in ("low", "high")))
+    named = F.inline(F.array(*(F.struct(F.lit(f"{n}_{x}").alias("what"), F.col(f"{n}_{x}.bucket").alias("_bucket"), F.col(f"{n}_{x}.place").alias("place")) for n in published for x in ("low", "high"))))
+    wanted = unsure.select("_id", *(F.col(k).alias(f"_s_{k}") for k in keys), named)
+    slot = F.concat_ws("|", F.to_json(F.struct(*(f"_s_{k}" for k in keys))), F.col("_bucket").cast("string"))
+    wanted = wanted.withColumn("slot", slot)
+    # the rows of the asked buckets, in one pass for parts and wholes (whose part is NULL)
+    chosen = wanted.select("slot", "_bucket", *(f"_s_{k}" for k in keys)).distinct()
+    base = [F.col(f"_s_{k}").eqNullSafe(F.col(k)) for k in [whole, *classes]] + [F.col("_bucket") == F.col("bucket"), F.col(f"_s_{part}").isNull() | (F.col(f"_s_{part}") == F.col(part))]
+    inside = held.withColumn("bucket", b.of(F.col("_value"))).join(chosen, base).select("slot", "_row", "_value").distinct()
+    counted = written(inside.groupBy("slot", F.col("_value").alias("value")).agg(F.count("*").alias("n")), "slots")
+    chosen = wanted.join(values_at(counted, wanted.select("slot", "place"), sort_rows), ["slot", "place"])
+    exact = chosen.groupBy("_id").agg(*(F.max(F.when(F.col("what") == f"{n}_{x}", F.col("value"))).alias(f"_{n}_{x}") for n in published for x in ("low", "high")))
     checked = unsure.join(exact, "_id")
     fails = F.lit(False)
     for n in published:
-        low, high = F.col(f"_{n}_low"), F.col(f"_{n}_high")
-        fails = fails | F.coalesce(differs(F.col(f"_pub_{n}"), low + (high - low) * F.col(f"{n}_part")), F.lit(False))
+        fails = fails | F.coalesce(differs(F.col(f"_pub_{n}"), between(F.col(f"_{n}_low"), F.col(f"_{n}_high"), F.col(f"{n}_part"))), F.lit(False))
     return judged.where("verdict = 2").select("_id").unionByName(checked.where(fails).select("_id"))

@@ -61,6 +61,11 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).shares()
 
 
+def p7_margins(spark: SparkSession, sf: str) -> DataFrame:
+    """Natural, fitted and taken shares of sources, languages and topics."""
+    return _mixture(spark, sf).margins()
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.pieces(table(spark, sf, "documents")).where("piece = 0").select("doc_id")
 
@@ -69,7 +74,7 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.pieces(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cloud_percentiles, p1_network_percentiles, p6_found, p6_suites, p7_found, p7_mixture, p7_shares, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cloud_percentiles, p1_network_percentiles, p6_found, p6_suites, p7_found, p7_mixture, p7_shares, p7_margins, p8_found, p8_pieces)}
 
 _EXACT = "SELECT {keys}, quantile_cont({v}, 0.5) AS m, quantile_cont({v}, 0.9) AS q FROM {t} GROUP BY {keys}"
 SQL = {

@@ -14,14 +14,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from urbanloom.llm.tokens import encoder, ranks_path
+from urbanloom.plans.tables import pinned
 
 LIMIT, OVERLAP = 1200, 100
 #: Tokens kept free: a cut inside a word can change how its rest is tokenized, and a character has up to four bytes.
 SPARE = 8
+#: Characters of a block; a piece is cut out of the few blocks it lies in, so a text of any length is walked once.
+BLOCK = 4096
+#: Cuts that are added up in one run; runs are added up in turn.
+RUN = 256
 #: Marks, strongest first: paragraph, line, sentence, word, character; x: inside a character.
 PARAGRAPH = regex.compile(r"\s*\n[^\S\n]*\n\s*")
 LINE = regex.compile(r"\s*\n\s*")
@@ -79,7 +85,8 @@ def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, pat
     if not 0 <= overlap < limit - 4 * SPARE:
         raise ValueError("the overlap must be well below the limit")
     file = ranks_path(path)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("marks", pa.string()), ("ends", pa.list_(pa.int32()))])
+    kind = documents.schema["doc_id"].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("blocks", pa.list_(pa.string())), ("marks", pa.string()), ("ends", pa.list_(pa.int32()))])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(file)
@@ -89,21 +96,44 @@ def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, pat
                 tokens = tokenizer.encode_ordinary(text)
                 if len(tokens) > limit:
                     ends = token_ends(text, tokens, [len(b) for b in tokenizer.decode_tokens_bytes(tokens)])
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()], pa.int64()), pa.array([text]), pa.array([marks(text, ends)]), pa.array([ends], pa.list_(pa.int32()))], schema=schema)
+                    blocks = [text[a : a + BLOCK] for a in range(0, len(text), BLOCK)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([blocks], pa.list_(pa.string())), pa.array([marks(text, ends)]), pa.array([ends], pa.list_(pa.int32()))], schema=schema)
 
     # a token has at least one byte, so shorter texts can't exceed the limit
-    long = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") > limit)
-    marked = long.mapInArrow(mark, "doc_id bigint, text string, marks string, ends array<int>")
+    long = documents.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") > limit)
+    marked = long.mapInArrow(mark, f"doc_id {kind.simpleString()}, blocks array<string>, marks string, ends array<int>")
     eaten = F.regexp_extract_all("marks", F.lit(cut_pattern(limit, overlap)), F.lit(0))
-    steps = F.transform(eaten, lambda s: F.length(s))
-    cuts = F.aggregate(steps, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
-    placed = marked.withColumn("cuts", cuts).select("doc_id", "text", "marks", "ends", "cuts", F.posexplode(F.slice("cuts", 2, F.size("cuts") - 1)).alias("piece", "until"))
-    back = F.greatest(F.element_at("cuts", F.col("piece") + 1) - F.when(F.col("piece") == 0, 0).otherwise(overlap), F.lit(0))
-    placed = placed.withColumn("back", back)
-    inside = F.when(F.col("back") > 0, F.length(F.regexp_extract(F.substring(F.col("marks"), F.greatest(F.col("back") - 3, F.lit(1)), F.least(F.col("back"), F.lit(4))), "(x*)$", 1))).otherwise(0)
-    placed = placed.withColumn("first_token", F.col("back") - inside)
-    start = F.when(F.col("first_token") == 0, 0).otherwise(F.element_at("ends", F.col("first_token")))
-    placed = placed.withColumn("start", start)
-    stop = F.element_at("ends", F.col("until"))
-    boundary = F.when(F.col("until") == F.length("marks"), "end").otherwise(F.substring(F.col("marks"), F.col("until"), F.lit(1)))
-    return placed.select("doc_id", F.length("marks").alias("doc_tokens"), "piece", "first_token", (F.col("until") - F.col("first_token")).alias("n_tokens"), boundary.alias("boundary"), "start", F.substring(F.col("text"), F.col("start") + 1, stop - F.col("start")).alias("text"))
+    cut = pinned(marked, {"eaten": eaten})
+    cut = pinned(cut, {"cuts": running_sums(F.transform("eaten", lambda s: F.length(s)))})
+
+    def begun(until: Column, k: Column) -> Column:
+        """Until which token a piece goes, and `back`, the tokens before it less the overlap."""
+        back = F.when(k == 0, 0).otherwise(F.greatest(F.get("cuts", k - 1) - overlap, F.lit(0)))
+        return F.struct(k.alias("piece"), until.alias("until"), back.alias("back"), F.right(F.get("eaten", k), F.lit(1)).alias("mark"))
+
+    def aligned(p: Column) -> Column:
+        """Up to three tokens more where the overlap would begin inside a character."""
+        x = [F.coalesce(F.get("ends", p.back - 1 - j) < 0, F.lit(False)) for j in range(3)]
+        inside = F.when(~x[0], 0).when(~x[1], 1).when(~x[2], 2).otherwise(3)
+        return F.struct(p.piece.alias("piece"), p.until.alias("until"), (p.back - inside).alias("first_token"), p.mark.alias("mark"))
+
+    def bounded(p: Column) -> Column:
+        start = F.when(p.first_token == 0, 0).otherwise(F.get("ends", p.first_token - 1))
+        boundary = F.when(p.until == F.size("ends"), "end").otherwise(p.mark)
+        return F.struct(p.piece.alias("piece"), p.first_token.alias("first_token"), (p.until - p.first_token).alias("n_tokens"), boundary.alias("boundary"), start.alias("start"), F.get("ends", p.until - 1).alias("stop"))
+
+    def taken(p: Column) -> Column:
+        first = F.floor(p.start / BLOCK).cast("int")
+        held = F.array_join(F.slice("blocks", first + 1, F.floor((p.stop - 1) / BLOCK).cast("int") - first + 1), "")
+        return F.struct(*(p[c].alias(c) for c in ("piece", "first_token", "n_tokens", "boundary", "start")), F.substring(held, p.start - first * BLOCK + 1, p.stop - p.start).alias("text"))
+
+    made = F.transform(F.transform(F.transform(F.transform("cuts", begun), aligned), bounded), taken)
+    return cut.select("doc_id", F.size("ends").alias("doc_tokens"), F.inline(made))
+
+
+def running_sums(steps: Column) -> Column:
+    """The running sums of an array of whole numbers, by runs of RUN, so the work doesn't grow with its square."""
+    add = lambda run, start: F.aggregate(run, F.struct(F.array().cast("array<int>").alias("done"), start.alias("at")), lambda a, n: F.struct(F.array_append(a.done, (a.at + n).cast("int")).alias("done"), (a.at + n).cast("int").alias("at")))["done"]
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(steps) / RUN).cast("int") - 1, F.lit(0))), lambda k: F.slice(steps, k * RUN + 1, RUN))
+    sums = add(F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, n: a + n)), F.lit(0))
+    return F.flatten(F.transform(runs, lambda r, k: add(r, F.coalesce(F.get(sums, k - 1), F.lit(0)))))

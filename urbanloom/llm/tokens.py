@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import sys
+import types
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,8 @@ def encoder(path: str):  # noqa: ANN201
     import public_tokenizers
     import tiktoken
 
-    loaded = vars(tiktoken).setdefault("_urbanloom_loaded", {})
+    # functions travel by value, so what a worker keeps lives in a module of its own
+    loaded = vars(sys.modules.setdefault("_urbanloom_tokenizers", types.ModuleType("_urbanloom_tokenizers"))).setdefault("loaded", {})
     if path not in loaded:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
@@ -43,7 +46,8 @@ def token_count(text: Column, path: str | None = None) -> Column:
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = encoder(file)
         for texts in batches:
-            yield pd.Series([0 if t is None else len(tokens.encode_ordinary(t)) for t in texts], dtype="int64")
+            coded = tokens.encode_ordinary_batch(["" if t is None else t for t in texts], num_threads=1)
+            yield pd.Series([len(c) for c in coded], dtype="int64")
 
     return count(text)
 
