@@ -23,25 +23,66 @@ def _tile(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("bigint")
 
 
+#: Boxes are laid on tiles of the level whose size is next above theirs, so each meets at most four; so many levels at most.
+LEVELS = 24
+
+
+def _level(width: Column, height: Column, tile: float) -> Column:
+    """The level of a box: tiles of level k are tile * 2 ** k wide."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(width, height, F.lit(tile)) / tile)), F.lit(0)), F.lit(LEVELS)).cast("int")
+
+
+def _spread(boxes: DataFrame, tile: float) -> tuple[DataFrame, list[int]]:
+    """`boxes` once per tile (level, tx, ty) that they meet, and the levels in use (LEVELS + 1 numbers at most)."""
+    held = boxes.withColumn("level", _level(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), tile))
+    size = F.lit(tile) * F.pow(F.lit(2.0), "level")
+    at = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    spread = held.withColumn("tx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("ty", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    return spread, sorted(r[0] for r in held.select("level").distinct().collect() if r[0] is not None)
+
+
+def _on_levels(df: DataFrame, x: Column, y: Column, levels: list[int], tile: float) -> DataFrame:
+    """`df` once per level with the tile that holds the place."""
+    each = [F.struct(F.lit(k).alias("level"), _tile(x, tile * 2.0**k).alias("tx"), _tile(y, tile * 2.0**k).alias("ty")) for k in levels]
+    return df.select("*", F.inline(F.array(*each))) if each else df.select("*", F.lit(0).alias("level"), _tile(x, tile).alias("tx"), _tile(y, tile).alias("ty"))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, tile: float = TILE) -> DataFrame:
-    """Every point with the `key` of each polygon (column `ring`) that holds it. Points with NULL or NaN x or y are in none."""
-    box = geo.box_of(F.col("ring"))
-    spread = polygons.select(key, "ring", box.alias("_b")).select(key, "ring", "_b", F.inline(geo.tiles_of(F.col("_b.xmin"), F.col("_b.ymin"), F.col("_b.xmax"), F.col("_b.ymax"), tile)))
-    held = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").withColumns({"tx": _tile(F.col("x"), tile), "ty": _tile(F.col("y"), tile)})
-    near = held.join(spread, ["tx", "ty"]).where(F.col("x").between(F.col("_b.xmin"), F.col("_b.xmax")) & F.col("y").between(F.col("_b.ymin"), F.col("_b.ymax")))
-    return near.where(geo.contains(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, key)
+    """Every point with the `key` of each polygon (column `ring`) that holds it. Points with NULL or NaN x or y are in none.
+
+    Only keys and boxes are laid on tiles, on the level of their size; rings join what is left after the box test.
+    """
+    own = polygons.select(key, "ring").where("ring IS NOT NULL")
+    boxes = own.select(key, geo.box_of(F.col("ring")).alias("_b")).select(key, "_b.*")
+    spread, levels = _spread(boxes, tile)
+    held = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    inside = F.col("x").between(F.col("xmin"), F.col("xmax")) & F.col("y").between(F.col("ymin"), F.col("ymax"))
+    near = _on_levels(held, F.col("x"), F.col("y"), levels, tile).join(spread, ["level", "tx", "ty"]).where(inside).select(*points.columns, key)
+    return near.join(own, key).where(geo.contains(F.col("ring"), F.col("x"), F.col("y"))).select(*points.columns, key)
 
 
 def boxes_within(boxes: DataFrame, key: str, distance: float, tile: float = 4 * TILE) -> DataFrame:
-    """Pairs a, b (a < b) of boxes at most `distance` apart (0 where they meet)."""
-    grown = lambda c, d: F.col(c) + d
-    tiles = geo.tiles_of(grown("xmin", -distance), grown("ymin", -distance), grown("xmax", distance), grown("ymax", distance), tile)
-    spread = boxes.select(F.col(key).alias("k"), "xmin", "ymin", "xmax", "ymax", F.inline(tiles))
-    left, right = spread.alias("l"), spread.alias("r")
-    gap = lambda low, high: F.greatest(F.col(f"r.{low}") - F.col(f"l.{high}"), F.col(f"l.{low}") - F.col(f"r.{high}"), F.lit(0.0))
+    """Pairs a, b (a < b) of boxes at most `distance` apart (0 where they meet).
+
+    A box is laid on the tiles of its level and asks for boxes of its own and
+    every higher level; a pair comes from the least tile that both meet.
+    """
+    grown = boxes.select(F.col(key).alias("k"), *((F.col(c) + (-distance if c.endswith("min") else distance)).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    spread, levels = _spread(grown, tile)
+    ask = grown.withColumn("own", _level(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), tile))
+    ask = ask.withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.array(F.lit(0)))).where("level >= own")
+    size = F.lit(tile) * F.pow(F.lit(2.0), "level")
+    at = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    ask = ask.withColumn("tx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("ty", F.explode(F.sequence(at("ymin"), at("ymax"))))
+    left, right = ask.alias("l"), spread.alias("r")
+    first = (F.col("tx") == F.floor(F.greatest("l.xmin", "r.xmin") / size)) & (F.col("ty") == F.floor(F.greatest("l.ymin", "r.ymin") / size))
+    once = (F.col("own") < F.col("level")) | (F.col("l.k") < F.col("r.k"))
+    joined = left.join(right, ["level", "tx", "ty"]).where((F.col("l.k") != F.col("r.k")) & once & first)
+    near = joined.select(F.least("l.k", "r.k").alias("a"), F.greatest("l.k", "r.k").alias("b"))
+    side = lambda p: boxes.select(F.col(key).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("xmin", "ymin", "xmax", "ymax")))
+    gap = lambda low, high: F.greatest(F.col(f"b_{low}") - F.col(f"a_{high}"), F.col(f"a_{low}") - F.col(f"b_{high}"), F.lit(0.0))
     dx, dy = gap("xmin", "xmax"), gap("ymin", "ymax")
-    joined = left.join(right, ["tx", "ty"]).where(F.col("l.k") < F.col("r.k")).where(F.sqrt(dx * dx + dy * dy) <= distance)
-    return joined.select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct()
+    return near.join(side("a"), "a").join(side("b"), "b").where(F.sqrt(dx * dx + dy * dy) <= distance).select("a", "b")
 
 
 def merge_groups(boxes: DataFrame, key: str, distance: float) -> DataFrame:
@@ -68,6 +109,17 @@ def building_heights(buildings: DataFrame, roof_points: DataFrame, ground: DataF
     return held.withColumn("height", F.greatest(F.coalesce(F.col("roof") - F.col("ground_height"), F.lit(float(least))), F.lit(float(least))))
 
 
+def heights_from_attribute(buildings: DataFrame, stated: Column, default: float = 10.0, least: float = 2.5) -> DataFrame:
+    """`buildings` with height: what is stated (NULL and NaN: `default`), at least `least`."""
+    return buildings.withColumn("height", F.greatest(F.coalesce(F.nanvl(stated, F.lit(None).cast("double")), F.lit(default)), F.lit(least)))
+
+
+def largest(polygons: DataFrame, key: str) -> DataFrame:
+    """key and area of the polygon (column `ring`) with the largest area, of equal ones the last by key. One row."""
+    held = polygons.select(key, F.round(geo.area(F.col("ring")), 2).alias("area"))
+    return held.agg(F.max_by(key, F.struct("area", key)).alias(key), F.max("area").alias("area"))
+
+
 def zonal_stats(cells: DataFrame, zones: DataFrame, key: str) -> DataFrame:
     """Per zone over the cells (x, y, value) whose centre it holds: count, min, max, mean, sum, std, var, median, p90, unique, majority, minority."""
     held = points_in_polygons(cells, zones, key)

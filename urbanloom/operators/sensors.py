@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,14 @@ def merge_stations(readings: DataFrame, stations: DataFrame) -> DataFrame:
     return meta.join(fields, "station_id").select("station_id", "m.*", "values")
 
 
+def latest_value(snapshots: DataFrame, path: str = "$.lastValue.value") -> DataFrame:
+    """station_id, value, n: the number at `path` of the JSON attributes of a station's last snapshot by arrival (then by id), and how many it has.
+
+    Snapshots without an arrival are left out; repeated ones count once; what is no number is NULL."""
+    held = snapshots.where("received_at IS NOT NULL").select("station_id", "snapshot_id", "received_at", F.get_json_object("attributes", path).try_cast("double").alias("value")).distinct()
+    return held.groupBy("station_id").agg(F.max_by("value", F.struct("received_at", "snapshot_id")).alias("value"), F.count("*").alias("n"))
+
+
 def summarise(observations: DataFrame) -> DataFrame:
     """Per field: stations, values, least, greatest and mean value that is not missing."""
     return missing_to_null(observations).groupBy("field").agg(F.countDistinct("station_id").alias("stations"), F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
@@ -53,5 +61,5 @@ def to_wide(readings: DataFrame, fields: list[str]) -> DataFrame:
 
 def stale(readings: DataFrame, days: int) -> DataFrame:
     """The readings more than `days` before the newest one of their field."""
-    newest = F.max("ts").over(Window.partitionBy("field"))
-    return readings.withColumn("_newest", newest).where(F.col("ts") < F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).drop("_newest")
+    newest = readings.groupBy(F.col("field").alias("_field")).agg(F.max("ts").alias("_newest"))
+    return readings.join(newest, F.col("field").eqNullSafe(F.col("_field"))).where(F.col("ts") < F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).drop("_field", "_newest")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanloom.functions import crs, names
+from urbanloom.functions import crs, names, surfaces
 from urbanloom.functions import geometry as geo
-from urbanloom.operators import graphs, meshes, points, polygons, rasters, sensors
+from urbanloom.operators import boxes, graphs, meshes, points, polygons, rasters, sensors, trees
+from urbanloom.plans.city import City
 from urbanloom.plans.tables import numbered, table, written
 from urbanloom.queries.clouds import _GRID, _OK, _dem, _points
 
@@ -25,41 +26,31 @@ def _boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bounds_measures(spark: SparkSession, sf: str) -> DataFrame:
-    w, h, d = (F.col(f"{c}max") - F.col(f"{c}min") for c in "xyz")
-    return _boxes(spark, sf).select("bounds_id", F.round(w, 3).alias("width"), F.round(h, 3).alias("height"), F.round(d, 3).alias("depth"), F.round(w * h, 3).alias("area"), F.round(w * h * d, 3).alias("volume"), F.round((F.col("xmin") + F.col("xmax")) / 2, 4).alias("cx"), F.round((F.col("ymin") + F.col("ymax")) / 2, 4).alias("cy"), ((w == 0) & (h == 0)).alias("is_point"))
+    held = boxes.measures(_boxes(spark, sf))
+    return held.select("bounds_id", *(F.round(c, 3).alias(c) for c in ("width", "height", "depth", "area", "volume")), *(F.round(c, 4).alias(c) for c in ("cx", "cy")), "is_point")
 
 
 def bounds_buffer(spark: SparkSession, sf: str) -> DataFrame:
-    return _boxes(spark, sf).select("bounds_id", *(F.round(F.col(c) + (-5.0 if c.endswith("min") else 5.0), 3).alias(c) for c in SIDES))
+    return boxes.buffered(_boxes(spark, sf), 5.0).select("bounds_id", *(F.round(c, 3).alias(c) for c in SIDES))
 
 
 def bounds_union(spark: SparkSession, sf: str) -> DataFrame:
-    return _boxes(spark, sf).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count("*").alias("n"))
+    return boxes.union(_boxes(spark, sf))
 
 
 def bounds_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of boxes that meet, with their intersection."""
-    boxes = _boxes(spark, sf)
-    pairs = polygons.boxes_within(boxes, "bounds_id", 0.0)
-    side = lambda p: boxes.select(F.col("bounds_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in SIDES))
-    held = pairs.join(side("a"), "a").join(side("b"), "b")
-    return held.select("a", "b", *((F.greatest if c.endswith("min") else F.least)(f"a_{c}", f"b_{c}").alias(c) for c in SIDES))
+    return boxes.overlaps(_boxes(spark, sf), "bounds_id")
 
 
 def bounds_nested(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of an outer and an inner box, edges included."""
-    boxes = _boxes(spark, sf)
-    pairs = polygons.boxes_within(boxes, "bounds_id", 0.0)
-    both = pairs.select(F.col("a").alias("outer"), F.col("b").alias("inner")).union(pairs.select("b", "a"))
-    side = lambda p: boxes.select(F.col("bounds_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in SIDES))
-    return both.join(side("outer"), "outer").join(side("inner"), "inner").where("outer_xmin <= inner_xmin AND outer_ymin <= inner_ymin AND outer_xmax >= inner_xmax AND outer_ymax >= inner_ymax").select("outer", "inner")
+    return boxes.nested(_boxes(spark, sf), "bounds_id")
 
 
 def bounds_tiles(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 m tiles of every box, columns first, cut at its far edges."""
-    w, h = (F.greatest(F.ceil((F.col(f"{c}max") - F.col(f"{c}min")) / 20.0).cast("int"), F.lit(1)) for c in "xy")
-    held = _boxes(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), w - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), h - 1)))
-    return held.select("bounds_id", "i", "j", F.round(F.col("xmin") + F.col("i") * 20.0, 3).alias("xmin"), F.round(F.col("ymin") + F.col("j") * 20.0, 3).alias("ymin"), F.round(F.least(F.col("xmin") + (F.col("i") + 1) * 20.0, F.col("xmax")), 3).alias("xmax"), F.round(F.least(F.col("ymin") + (F.col("j") + 1) * 20.0, F.col("ymax")), 3).alias("ymax"))
+    return boxes.tiles(_boxes(spark, sf), 20.0).select("bounds_id", "i", "j", *(F.round(c, 3).alias(c) for c in SIDES))
 
 
 # footprints: a diamond in every box
@@ -70,21 +61,26 @@ def _footprints(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes(spark, sf).select(F.col("bounds_id").alias("building_id"), geo.ring_of((F.col("xmax"), cy), (cx, F.col("ymax")), (F.col("xmin"), cy), (cx, F.col("ymin"))).alias("ring"))
 
 
+def _seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point as it stands; repeats are dropped after the spatial test, where few are left."""
+    return table(spark, sf, "points").select("cloud_id", "strip_id", "point_id", "x", "y", "z", "classification")
+
+
 def _solid_points(spark: SparkSession, sf: str) -> DataFrame:
     return _points(spark, sf).where("z IS NOT NULL AND NOT isnan(z)")
 
 
 def points_in_polygons(spark: SparkSession, sf: str) -> DataFrame:
-    return polygons.points_in_polygons(_points(spark, sf), _footprints(spark, sf), "building_id").select("building_id", "point_id")
+    return polygons.points_in_polygons(_seen(spark, sf), _footprints(spark, sf), "building_id").distinct().select("building_id", "point_id")
 
 
 def points_semi(spark: SparkSession, sf: str) -> DataFrame:
-    inside = polygons.points_in_polygons(_points(spark, sf), _footprints(spark, sf), "building_id")
+    inside = polygons.points_in_polygons(_seen(spark, sf), _footprints(spark, sf), "building_id")
     return points.keep_points(_points(spark, sf), inside).select("point_id")
 
 
 def points_anti(spark: SparkSession, sf: str) -> DataFrame:
-    inside = polygons.points_in_polygons(_points(spark, sf), _footprints(spark, sf), "building_id")
+    inside = polygons.points_in_polygons(_seen(spark, sf), _footprints(spark, sf), "building_id")
     return points.remove_points(_points(spark, sf), inside).select("point_id")
 
 
@@ -94,13 +90,13 @@ def footprint_measures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def footprint_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """Footprints of at least 200 square metres, not counter-clockwise by chance but by rule, at the largest first."""
-    return _footprints(spark, sf).select("building_id", F.round(geo.area(F.col("ring")), 2).alias("area")).where("area >= 200")
+    """Footprints of at least 200 square metres."""
+    held = City().with_footprints(_footprints(spark, sf), 200.0).buildings
+    return held.select("building_id", F.round(geo.area(F.col("ring")), 2).alias("area"))
 
 
 def largest_footprint(spark: SparkSession, sf: str) -> DataFrame:
-    held = _footprints(spark, sf).select("building_id", F.round(geo.area(F.col("ring")), 2).alias("area"))
-    return held.agg(F.max_by("building_id", F.struct("area", "building_id")).alias("building_id"), F.max("area").alias("area"))
+    return polygons.largest(_footprints(spark, sf), "building_id")
 
 
 def split_walls(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +106,8 @@ def split_walls(spark: SparkSession, sf: str) -> DataFrame:
 def lod1_wall_area(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks of 12 m over the footprints: surfaces, wall area and volume."""
     held = _footprints(spark, sf).withColumn("block", geo.extrude(F.col("ring"), F.lit(0.0), F.lit(12.0)))
-    return held.select("building_id", F.size("block").alias("surfaces"), F.round(geo.perimeter(F.col("ring")) * 12.0, 3).alias("wall_area"), F.round(geo.area(F.col("ring")) * 12.0, 1).alias("volume"))
+    walls = geo.total(F.transform(F.slice("block", 3, F.size("block")), surfaces.area))
+    return held.select("building_id", F.size("block").alias("surfaces"), F.round(walls, 3).alias("wall_area"), F.round(surfaces.area(F.get("block", F.lit(0))) * 12.0, 1).alias("volume"))
 
 
 def dwithin_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -123,9 +120,9 @@ def merge_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def merge_footprint_heights(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of close boxes: members, total area, area-weighted mean height, last name."""
-    boxes = _boxes(spark, sf).where("zmin IS NOT NULL AND zmax IS NOT NULL AND NOT isnan(zmin) AND NOT isnan(zmax)")
+    usable = _boxes(spark, sf).where("zmin IS NOT NULL AND zmax IS NOT NULL AND NOT isnan(zmin) AND NOT isnan(zmax)")
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
-    held = boxes.join(polygons.merge_groups(boxes, "bounds_id", 15.0), F.col("bounds_id") == F.col("node"))
+    held = usable.join(polygons.merge_groups(usable, "bounds_id", 15.0), F.col("bounds_id") == F.col("node"))
     return held.groupBy("component").agg(F.count("*").alias("members"), F.round(F.sum(area), 1).alias("area"), F.round(F.sum(F.col("zmin") * area) / F.sum(area), 4).alias("height"), F.max("bounds_id").alias("last"))
 
 
@@ -141,8 +138,9 @@ def building_heights(spark: SparkSession, sf: str) -> DataFrame:
 def heights_from_attribute(spark: SparkSession, sf: str) -> DataFrame:
     """Heights stated on the boxes (zmax - zmin, 10 where unknown), at least 2.5, over the terrain."""
     cells, grid = _dem(spark, sf)
-    held = _boxes(spark, sf).select("bounds_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"), F.coalesce(F.nanvl(F.col("zmax") - F.col("zmin"), F.lit(None).cast("double")), F.lit(10.0)).alias("stated"))
-    return rasters.sample(held, cells, grid).select("bounds_id", F.round(F.greatest("stated", F.lit(2.5)), 3).alias("height"), "ground")
+    held = boxes.measures(_boxes(spark, sf)).select("bounds_id", F.col("cx").alias("x"), F.col("cy").alias("y"), "depth")
+    held = polygons.heights_from_attribute(rasters.sample(held, cells, grid), F.col("depth"))
+    return held.select("bounds_id", F.round("height", 3).alias("height"), "ground")
 
 
 def zonal_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -282,14 +280,19 @@ def _readings(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "observations").distinct()
 
 
+def _all_readings(spark: SparkSession, sf: str) -> DataFrame:
+    """The observations as they stand: repeats can't change which is last."""
+    return table(spark, sf, "observations")
+
+
 def latest_observations(spark: SparkSession, sf: str) -> DataFrame:
     """The latest readings of the first 50 stations of a region that have any value."""
-    held = sensors.latest(sensors.stations_within(_readings(spark, sf), LON, LAT))
+    held = sensors.latest(sensors.stations_within(_all_readings(spark, sf), LON, LAT))
     return sensors.first_stations(sensors.drop_all_missing(held), STATIONS).select("station_id", "field", "value", "unit", "quality", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
 def all_latest(spark: SparkSession, sf: str) -> DataFrame:
-    return sensors.latest(_readings(spark, sf)).select("station_id", "field", "value", "quality")
+    return sensors.latest(_all_readings(spark, sf)).select("station_id", "field", "value", "quality")
 
 
 def sensor_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,17 +300,17 @@ def sensor_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sensor_wide(spark: SparkSession, sf: str) -> DataFrame:
-    return sensors.to_wide(sensors.latest(_readings(spark, sf)), ["air_temperature", "wind_speed", "pm10"])
+    return sensors.to_wide(sensors.latest(_all_readings(spark, sf)), ["air_temperature", "wind_speed", "pm10"])
 
 
 def sensor_merge(spark: SparkSession, sf: str) -> DataFrame:
-    held = _readings(spark, sf)
+    held = _all_readings(spark, sf)
     merged = sensors.merge_stations(sensors.latest(held), held)
     return merged.select("station_id", "station_name", "lon", "lat", "elevation", F.size("values").alias("fields"), F.try_element_at("values", F.lit("pm10")).alias("pm10"))
 
 
 def sensor_stale(spark: SparkSession, sf: str) -> DataFrame:
-    return sensors.stale(sensors.latest(_readings(spark, sf)), 7).select("station_id", "field")
+    return sensors.stale(sensors.latest(_all_readings(spark, sf)), 7).select("station_id", "field")
 
 
 def reproject_3006(spark: SparkSession, sf: str) -> DataFrame:
@@ -329,7 +332,7 @@ def reproject_4326(spark: SparkSession, sf: str) -> DataFrame:
 
 def tree_crowns(spark: SparkSession, sf: str) -> DataFrame:
     """Crown radius by height, where none was measured: 0.22 h ^ 0.87 within 0.8 and 6 m."""
-    by_height = F.least(F.greatest(0.22 * F.pow("height", F.lit(0.87)), F.lit(0.8)), F.lit(6.0))
+    by_height = trees.crown_radius(F.col("height"))
     return table(spark, sf, "trees").distinct().where("height > 0 AND height < 100").select("tree_id", "seen_at", F.round(F.coalesce("crown_radius", by_height), 6).alias("crown_radius")).withColumn("seen_at", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss"))
 
 

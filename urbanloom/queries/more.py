@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import geometry as geo
 from urbanloom.functions import names, planar, solids
 from urbanloom.operators import cells as cl
-from urbanloom.operators import meshes, nearby, points, polygons, roofs, sensors, trees
+from urbanloom.operators import boxes, meshes, nearby, points, polygons, roofs, sensors, trees
 from urbanloom.operators import rasters as rs
 from urbanloom.operators.graphs import connected_components
 from urbanloom.plans import registry
@@ -85,9 +85,9 @@ def tree_nms(spark: SparkSession, sf: str) -> DataFrame:
 
 def ray_roofs(spark: SparkSession, sf: str) -> DataFrame:
     """Rays straight down from 1,000 m at a place of every box: the nearest of the box tops (two triangles each) they meet."""
-    boxes = _boxes(spark, sf).where("zmax IS NOT NULL AND NOT isnan(zmax)")
-    rays = boxes.select(F.col("bounds_id").alias("ray_id"), (F.col("xmin") + 0.3 * (F.col("xmax") - F.col("xmin"))).alias("x"), (F.col("ymin") + 0.4 * (F.col("ymax") - F.col("ymin"))).alias("y"))
-    tiled = boxes.select("bounds_id", *("xmin ymin xmax ymax zmax".split()), F.inline(geo.tiles_of(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), 64.0)))
+    tops = _boxes(spark, sf).where("zmax IS NOT NULL AND NOT isnan(zmax)")
+    rays = tops.select(F.col("bounds_id").alias("ray_id"), (F.col("xmin") + 0.3 * (F.col("xmax") - F.col("xmin"))).alias("x"), (F.col("ymin") + 0.4 * (F.col("ymax") - F.col("ymin"))).alias("y"))
+    tiled = tops.select("bounds_id", *("xmin ymin xmax ymax zmax".split()), F.inline(geo.tiles_of(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), 64.0)))
     near = rays.withColumns({"tx": F.floor(F.col("x") / 64.0).cast("bigint"), "ty": F.floor(F.col("y") / 64.0).cast("bigint")}).join(tiled, ["tx", "ty"])
     corner = lambda a, b: (F.col(a), F.col(b), F.col("zmax"))
     ll, lr, ur, ul = corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax")
@@ -148,8 +148,7 @@ def geometry_types(spark: SparkSession, sf: str) -> DataFrame:
 
 def air_quality_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The last value of every air-quality station by arrival, from the JSON of its snapshots."""
-    held = table(spark, sf, "sensor_snapshots").where("feed = 'air_quality' AND received_at IS NOT NULL").select("station_id", "snapshot_id", "received_at", F.get_json_object("attributes", "$.lastValue.value").try_cast("double").alias("value")).distinct()
-    return held.groupBy("station_id").agg(F.max_by("value", F.struct("received_at", "snapshot_id")).alias("value"), F.count("*").alias("n"))
+    return sensors.latest_value(table(spark, sf, "sensor_snapshots").where("feed = 'air_quality'"))
 
 
 def last_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,11 +166,9 @@ def daily_means(spark: SparkSession, sf: str) -> DataFrame:
 
 def cache_hits(spark: SparkSession, sf: str) -> DataFrame:
     """The boxes that hold a 5 m request box around the middle of another box whole: a cached download could serve it."""
-    boxes = _boxes(spark, sf)
-    wanted = boxes.select(F.col("bounds_id").alias("request"), ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
-    wanted = wanted.select("request", "x", "y", F.floor(F.col("x") / 128.0).cast("bigint").alias("tx"), F.floor(F.col("y") / 128.0).cast("bigint").alias("ty"))
-    spread = boxes.select("bounds_id", "xmin", "ymin", "xmax", "ymax", F.inline(geo.tiles_of(F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), 128.0)))
-    return wanted.join(spread, ["tx", "ty"]).where("xmin <= x - 2.5 AND ymin <= y - 2.5 AND xmax >= x + 2.5 AND ymax >= y + 2.5").select("request", "bounds_id")
+    held = _boxes(spark, sf)
+    middle = boxes.measures(held).select(F.col("bounds_id").alias("request"), *((F.col(m)).alias(c) for m, c in (("cx", "xmin"), ("cy", "ymin"), ("cx", "xmax"), ("cy", "ymax"))))
+    return boxes.supersets(boxes.buffered(middle, 2.5), held, "request", "bounds_id")
 
 
 def roof_outliers(spark: SparkSession, sf: str) -> DataFrame:
