@@ -54,6 +54,16 @@ def geometry_type(class_name: Column) -> Column:
     return F.upper(F.regexp_replace(class_name, "(?<!^)(?=[A-Z])", "_"))
 
 
+#: The kinds of geometry that an object may have.
+GEOMETRY_TYPES = ("BOUNDS", "LOD0", "LOD1", "LOD2", "LOD3", "MESH", "VOLUME_MESH", "POINT_CLOUD", "RASTER", "POLYGON", "SURFACE", "MULTISURFACE", "LINESTRING", "MULTILINESTRING")
+
+
+def geometry_type_of(name: Column) -> Column:
+    """The kind of geometry that a text names, in any case, with hyphens or blanks; NULL if it names none."""
+    text = F.translate(F.upper(F.trim(name)), " -", "__")
+    return F.when(text.isin(*GEOMETRY_TYPES), text)
+
+
 def classes_of(name: str) -> tuple[int, ...]:
     if name not in CLASSES:
         raise ValueError(f"no class group {name}; there are {', '.join(CLASSES)}")

@@ -407,6 +407,16 @@ def measured(polygon: Column, measure: Callable[[Rings], float]) -> Column:
     return run(polygon)
 
 
+def united(polygons: Column) -> Column:
+    """The union of an array of polygons, as an array."""
+
+    @F.pandas_udf(f"array<{POLYGON}>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if some is None else [_struct(p) for p in union([_rings(p) for p in some if p is not None])] for some in lists])
+
+    return run(polygons)
+
+
 def merged_list(polygons: Column, tolerance: float) -> Column:
     """One polygon of an array of them."""
 

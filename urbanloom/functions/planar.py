@@ -68,27 +68,38 @@ def clip(ring: np.ndarray, xmin: float, ymin: float, xmax: float, ymax: float) -
 
 
 def ears(ring: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles (vertex places) of a simple ring, by cutting ears."""
+    """Triangles (vertex places) of a simple ring, which may touch itself along bridges, by cutting ears.
+
+    The corners at reflex vertices are the only ones that can lie in an ear, so
+    only they are tested, all at once. A degenerate rest is cut at its flattest
+    corner, whose triangle has no area to speak of.
+    """
     n = len(ring)
     if n < 3:
         return []
-    x, y = ring[:, 0], ring[:, 1]
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
     order = list(range(n)) if float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) > 0 else list(range(n))[::-1]
-    cross = lambda o, a, b: (x[a] - x[o]) * (y[b] - y[o]) - (y[a] - y[o]) * (x[b] - x[o])
-    out = []
+    turn = lambda o, a, b: (x[a] - x[o]) * (y[b] - y[o]) - (y[a] - y[o]) * (x[b] - x[o])
+    out, start = [], 0
     while len(order) > 3:
-        for k in range(len(order)):
-            a, b, c = order[k - 1], order[k], order[(k + 1) % len(order)]
-            if cross(a, b, c) <= 0:
+        size = len(order)
+        around = np.array(order)
+        corner = turn(np.roll(around, 1), around, np.roll(around, -1))
+        reflex = around[corner <= 0]
+        for step in range(size):
+            k = (start + step) % size
+            if corner[k] <= 0:
                 continue
-            rest = [p for p in order if p not in (a, b, c)]
-            if not any(cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in rest):
-                out.append((a, b, c))
-                del order[k]
+            a, b, c = order[k - 1], order[k], order[(k + 1) % size]
+            rest = reflex[~(((x[reflex] == x[a]) & (y[reflex] == y[a])) | ((x[reflex] == x[b]) & (y[reflex] == y[b])) | ((x[reflex] == x[c]) & (y[reflex] == y[c])))]
+            if not ((turn(a, b, rest) >= 0) & (turn(b, c, rest) >= 0) & (turn(c, a, rest) >= 0)).any():
                 break
-        else:  # a degenerate rest: cut the flattest corner
-            k = min(range(len(order)), key=lambda i: abs(cross(order[i - 1], order[i], order[(i + 1) % len(order)])))
-            del order[k]
+        else:
+            k = int(np.abs(corner).argmin())
+            a, b, c = order[k - 1], order[k], order[(k + 1) % size]
+        out.append((a, b, c))
+        del order[k]
+        start = k
     return [*out, tuple(order)]
 
 
@@ -130,3 +141,59 @@ def triangulated(ring: Column) -> Column:
         return pd.Series([None if r is None else [{"a": a, "b": b, "c": c} for a, b, c in ears(_array(r))] for r in rings])
 
     return run(ring)
+
+
+def clipped_area(ring: Column, size: float) -> Column:
+    """The area of a ring inside the square from the origin to `size`."""
+
+    @F.pandas_udf("double")
+    def run(rings: pd.Series) -> pd.Series:
+        out = []
+        for r in rings:
+            part = clip(_array(r), 0.0, 0.0, size, size) if r is not None else np.zeros((0, 2))
+            x, y = (part[:, 0], part[:, 1]) if len(part) else (np.zeros(0), np.zeros(0))
+            out.append(abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2)
+        return pd.Series(out, dtype="float64")
+
+    return run(ring)
+
+
+def bridged(shell: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:
+    """A ring that runs along the shell and, over bridges of no width, along every hole."""
+    area = lambda r: float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum())
+    ring = shell if area(shell) > 0 else shell[::-1]
+    turned = [h if area(h) < 0 else h[::-1] for h in holes if len(h) > 2]
+    for hole in sorted(turned, key=lambda h: -h[:, 0].max()):
+        start = int(hole[:, 0].argmax())
+        m = hole[start]
+        # the nearest vertex of the ring that sees the hole's rightmost vertex
+        order = np.argsort(np.hypot(*(ring - m).T), kind="stable")
+        walls = [(r, np.roll(r, -1, axis=0)) for r in (ring, *turned)]
+        for k in order:
+            if not any(_cross(m, ring[k], p, q).any() for p, q in walls):
+                break
+        ring = np.vstack([ring[: k + 1], hole[start:], hole[: start + 1], ring[k:]])
+    return ring
+
+
+def _cross(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which edges p q the segment a b properly crosses."""
+    side = lambda o, e, at: np.sign((e[..., 0] - o[..., 0]) * (at[..., 1] - o[..., 1]) - (e[..., 1] - o[..., 1]) * (at[..., 0] - o[..., 0]))
+    return (side(a, b, p) * side(a, b, q) < 0) & (side(p, q, a) * side(p, q, b) < 0)
+
+
+def meshed(polygon: Column) -> Column:
+    """The triangles (arrays of three x, y) of a polygon (shell and holes)."""
+
+    @F.pandas_udf(f"array<{RING}>")
+    def run(polygons: pd.DataFrame) -> pd.Series:
+        out = []
+        for p in polygons.to_dict("records"):
+            if p["shell"] is None:
+                out.append(None)
+                continue
+            ring = bridged(_array(p["shell"]), [_array(h) for h in p["holes"]])
+            out.append([_structs(ring[[a, b, c]]) for a, b, c in ears(ring)])
+        return pd.Series(out)
+
+    return run(polygon)

@@ -44,18 +44,23 @@ def merge_groups(polygons: DataFrame, key: str, distance: float, least_area: flo
 
 
 def merged(polygons: DataFrame, key: str, groups: DataFrame, tolerance: float, at_once: int = AT_ONCE) -> DataFrame:
-    """component, members, polygon: the polygons of every group as one (functions.overlay.merge).
+    """component, members, polygon: the polygons of every group as one (functions.overlay.merge)."""
+    held = united(polygons, key, groups, at_once)
+    return held.select("component", "members", ov.merged_list(F.col("parts"), tolerance).alias("polygon"))
 
-    Groups are merged `at_once` neighbours at a time, again and again until one is left of each."""
-    held = polygons.select(F.col(key).alias("node"), "polygon").join(groups, "node").select("component", "node", "polygon", F.lit(1).cast("bigint").alias("members"))
-    held = held.withColumn("at", geo.box_of(F.col("polygon.shell")).xmin)
+
+def united(polygons: DataFrame, key: str, groups: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """component, members, parts: the union of every group, as the array of its parts.
+
+    Groups are united `at_once` neighbours at a time, again and again until one row is left of each."""
+    held = polygons.select(F.col(key).alias("node"), "polygon").join(groups, "node").select("component", "node", F.array("polygon").alias("parts"), F.lit(1).cast("bigint").alias("members"), geo.box_of(F.col("polygon.shell")).xmin.alias("at"))
     while True:
         place = F.row_number().over(Window.partitionBy("component").orderBy("at", "node")) - 1
-        batch = held.withColumn("_batch", F.floor(place / at_once))
-        lists = batch.groupBy("component", "_batch").agg(F.sum("members").alias("members"), F.min("at").alias("at"), F.min("node").alias("node"), F.collect_list("polygon").alias("p"))  # `at_once` at most
-        held = written(lists.select("component", "node", ov.merged_list(F.col("p"), tolerance).alias("polygon"), "members", "at"), "merged")
+        lists = held.withColumn("_batch", F.floor(place / at_once)).groupBy("component", "_batch").agg(F.sum("members").alias("members"), F.min("at").alias("at"), F.min("node").alias("node"), F.flatten(F.collect_list("parts")).alias("parts"))  # `at_once` rows at most
+        # neighbours of a batch may be in the next one, so what stays apart is kept apart until the last
+        held = written(lists.select("component", "node", ov.united(F.col("parts")).alias("parts"), "members", "at"), "merged")
         if held.groupBy("component").count().where("count > 1").limit(1).count() == 0:
-            return held.select("component", "members", "polygon")
+            return held.select("component", "members", "parts")
 
 
 def simplified(polygon: Column, tolerance: float = 0.5) -> Column:

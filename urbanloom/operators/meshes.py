@@ -163,3 +163,91 @@ def open_boundary(faces: DataFrame, vertices: DataFrame, axis: str, at: float, t
     for c in ("v0", "v1", "v2"):
         held = held.join(on.select(F.col("vid").alias(c), F.lit(1).alias(f"_{c}")), c, "left")
     return held.where("_v0 IS NULL OR _v1 IS NULL OR _v2 IS NULL").select(*faces.columns)
+
+
+def sides_of(faces: DataFrame) -> DataFrame:
+    """fid, a, b: the edges of every face, the lesser vertex first."""
+    return faces.select("fid", F.inline(F.array(*(F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))))))
+
+
+def edge_connections(faces: DataFrame) -> DataFrame:
+    """Pairs fid, other (fid < other) of faces that share an edge, each once."""
+    held = sides_of(faces)
+    return held.join(held.withColumnRenamed("fid", "other"), ["a", "b"]).where("fid < other").select("fid", "other").distinct()
+
+
+def neighbours_of(cells: DataFrame, corners: tuple[str, ...] = ("v0", "v1", "v2")) -> DataFrame:
+    """Pairs vid, other of vertices that share a face (or a cell, with four corners), both ways, each once."""
+    pairs = F.array(*(F.struct(F.col(p).alias("vid"), F.col(q).alias("other")) for p in corners for q in corners if p != q))
+    return cells.select(F.inline(pairs)).where("vid != other").distinct()
+
+
+def smooth_mesh(vertices: DataFrame, cells: DataFrame, sweeps: int = 1, z_only: bool = False, corners: tuple[str, ...] = ("v0", "v1", "v2")) -> DataFrame:
+    """Every vertex moved to the mean of its neighbours (only z of it with `z_only`), all at once per sweep; a vertex of no face stays."""
+    pairs = neighbours_of(cells, corners)
+    moved = ("z",) if z_only else ("x", "y", "z")
+    for _ in range(sweeps):
+        means = pairs.join(vertices.select(F.col("vid").alias("other"), *moved), "other").groupBy("vid").agg(*(F.avg(c).alias(f"_{c}") for c in moved))
+        vertices = vertices.join(means, "vid", "left").select("vid", *(F.coalesce(f"_{c}", c).alias(c) if c in moved else F.col(c) for c in "xyz"))
+    return vertices
+
+
+def boundary_vertices(vertices: DataFrame, within: float = 1e-3) -> DataFrame:
+    """side (east, west, north, south), vid, place: the vertices within a distance of each side of the mesh's box, numbered along the side, then by z."""
+    from urbanloom.plans.tables import numbered
+
+    ends = vertices.agg(*(f(c).alias(f"{c}{n}") for c in "xy" for f, n in ((F.min, "min"), (F.max, "max")))).first()
+    if ends.xmin is None:
+        return vertices.select(F.lit("").alias("side"), "vid", F.lit(0).alias("place")).limit(0)
+    near = {"east": F.col("x") >= ends.xmax - within, "west": F.col("x") <= ends.xmin + within, "north": F.col("y") >= ends.ymax - within, "south": F.col("y") <= ends.ymin + within}
+    each = F.filter(F.array(*(F.struct(F.lit(s).alias("side"), F.col("y" if s in ("east", "west") else "x").alias("along"), on.alias("on")) for s, on in near.items())), lambda e: e.on)
+    held = numbered(vertices.select("vid", "z", F.inline(each)).select("side", "along", "z", "vid"), ["side", "along", "z", "vid"], "_n")
+    first = held.groupBy("side").agg(F.min("_n").alias("_first"))
+    return held.join(first, "side").select("side", "vid", (F.col("_n") - F.col("_first")).cast("int").alias("place"))
+
+
+def to_origin(vertices: DataFrame) -> DataFrame:
+    """The mesh moved so that its least x, y and z are 0."""
+    low = vertices.agg(*(F.min(c).alias(c) for c in "xyz")).first()
+    return vertices.withColumns({c: F.col(c) - (low[c] or 0.0) for c in "xyz"})
+
+
+def to_surfaces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """fid and ring (three corners of x, y, z) of every face."""
+    held = with_corners(faces, vertices)
+    corner = lambda c: F.struct(*(F.col(f"{c}_{k}").alias(k) for k in "xyz"))
+    return held.select("fid", F.array(corner("v0"), corner("v1"), corner("v2")).alias("ring"))
+
+
+def domain_markers(faces: DataFrame, inside: DataFrame) -> DataFrame:
+    """fid, marker: the building (`inside`: fid, building) of a face, else -1 beside one that has a building, else -2."""
+    corners = faces.select("fid", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+    halo = corners.join(inside, "fid").select("v").distinct()
+    beside = corners.join(halo, "v", "left_semi").select("fid").distinct().withColumn("_beside", F.lit(-1))
+    return faces.join(inside, "fid", "left").join(beside, "fid", "left").select("fid", F.coalesce("building", "_beside", F.lit(-2)).alias("marker"))
+
+
+def facet_markers(facets: DataFrame, markers: DataFrame, buildings: int) -> DataFrame:
+    """`facets` (v0, v1, v2) with the marker that their vertices' markers (vid, marker) make.
+
+    Ground markers are negative, building b has b at its foot and b + `buildings` at its roof. All negative: -2 if one
+    is, else the greatest. One building only and nothing above ground level: that building; foot and roof of one
+    building: the foot; anything else is -1."""
+    held = facets
+    for c in ("v0", "v1", "v2"):
+        held = held.join(markers.select(F.col("vid").alias(c), F.col("marker").alias(f"_{c}")), c)
+    three = F.array_sort(F.array("_v0", "_v1", "_v2"))
+    low, middle, high = (three[k] for k in range(3))
+    pair = F.when((low == middle) & (middle == high), low).when((low >= 0) & ((low == middle) | (middle == high)) & (high == low + buildings), low).otherwise(-1)
+    return held.select(*facets.columns, F.when(high < 0, F.when((low == -2) | (high == -2), -2).otherwise(high)).when(low < 0, -1).otherwise(pair).alias("marker"))
+
+
+def trimmed(cells: DataFrame, vertices: DataFrame, inside: DataFrame) -> DataFrame:
+    """The tetrahedra (cid, v0..v3) that are not inside: `inside` has the cid of those to drop."""
+    return cells.join(inside.select("cid"), "cid", "left_anti")
+
+
+def cell_centres(cells: DataFrame, vertices: DataFrame) -> DataFrame:
+    """cid, x, y, z: the mean of every tetrahedron's corners."""
+    held = with_corners(cells, vertices, ("v0", "v1", "v2", "v3"))
+    return held.select("cid", *((sum((F.col(f"v{k}_{c}") for k in range(1, 4)), F.col(f"v0_{c}")) / 4).alias(c) for c in "xyz"))

@@ -207,3 +207,84 @@ def fill_holes(cells: DataFrame, rows_hint: int) -> DataFrame:
     values = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("_value"))
     filled = got.join(values, ["_r", "_c"]).select("row", "col", "_value")
     return cells.join(filled, ["row", "col"], "left").select("row", "col", F.coalesce("value", "_value").alias("value"))
+
+
+def vertex_neighbours(width: int, height: int, index: Column, corners: bool = False) -> Column:
+    """The neighbours of a vertex (index = x + y * width) of a lattice of width x height vertices, ascending: over sides, and over corners if asked."""
+    x, y = index % width, F.floor(index / width).cast("bigint")
+    steps = [(a, b) for b in (-1, 0, 1) for a in (-1, 0, 1) if (a or b) and (corners or not (a and b))]
+    each = F.array(*(F.when((x + a).between(0, width - 1) & (y + b).between(0, height - 1), index + a + b * width) for a, b in steps))
+    return F.array_sort(F.array_compact(each))
+
+
+def volume_vertices(spark: SparkSession, low: tuple[float, float, float], step: tuple[float, float, float], counts: tuple[int, int, int]) -> DataFrame:
+    """vid, x, y, z of a lattice of counts + 1 vertices a side, x running fastest."""
+    nx, ny, nz = (c + 1 for c in counts)
+    at = spark.range(nx * ny * nz)
+    i, j, k = F.col("id") % nx, F.floor(F.col("id") / nx) % ny, F.floor(F.col("id") / (nx * ny))
+    return at.select(F.col("id").alias("vid"), *((low[n] + step[n] * v).cast("double").alias(c) for n, (c, v) in enumerate(zip("xyz", (i, j, k), strict=True))))
+
+
+def bottom_up(cells: DataFrame, grid: Grid) -> DataFrame:
+    """index (x + y * columns, y from the south) and value of every cell: the order of a field over a lattice."""
+    return cells.select(((F.lit(grid.rows - 1) - F.col("row")).cast("bigint") * grid.cols + F.col("col")).alias("index"), "value")
+
+
+def from_mesh(vertices: DataFrame, faces: DataFrame, grid: Grid) -> DataFrame:
+    """The raster of the mean z of the vertices that a face uses; cells without any have NULL."""
+    used = faces.select(F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
+    return rasterize(vertices.join(used, "vid", "left_semi"), grid, ground_only=False).select("row", "col", "value")
+
+
+def flat(spark: SparkSession, value: float, xmin: float, ymin: float, xmax: float, ymax: float) -> tuple[DataFrame, Grid]:
+    """A raster of one cell (as wide as the longer side) over a box."""
+    size = max(xmax - xmin, ymax - ymin)
+    return spark.range(1).select(F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(float(value)).alias("value")), Grid(xmin, ymax, size, 1, 1)
+
+
+def tops(cells: DataFrame, width: int, least: float) -> DataFrame:
+    """The cells that equal the maximum of the width x width cells around them and are at least `least`; every cell of a flat top is one."""
+    if width % 2 == 0:
+        raise ValueError("the width must be odd")
+    half, held = width // 2, cells.select("row", "col", "value", F.col("value").alias("_m"))
+    for line in (ALONG_ROW, ALONG_COLUMN):
+        held = held.withColumn("_m", F.max("_m").over(_along(line).rowsBetween(-half, half)))
+    return held.where((F.col("value") == F.col("_m")) & (F.col("value") >= least)).select("row", "col", "value")
+
+
+def touched(polygons: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """key, row, col of every cell that a polygon (column `ring`) touches: it holds the centre or an edge crosses the cell."""
+    from urbanloom.functions import geometry as geo
+    from urbanloom.functions.planar import clipped_area
+
+    box = geo.box_of(F.col("ring"))
+    held = polygons.select(key, "ring", box.alias("_b"))
+    clamp = lambda c, most: F.least(F.greatest(c, F.lit(0)), F.lit(most - 1))
+    held = held.where((F.col("_b.xmax") >= grid.west) & (F.col("_b.xmin") <= grid.west + grid.cols * grid.size) & (F.col("_b.ymin") <= grid.north) & (F.col("_b.ymax") >= grid.north - grid.rows * grid.size))
+    rows = F.sequence(clamp(grid.row(F.col("_b.ymax")), grid.rows), clamp(grid.row(F.col("_b.ymin")), grid.rows))
+    cols = F.sequence(clamp(grid.col(F.col("_b.xmin")), grid.cols), clamp(grid.col(F.col("_b.xmax")), grid.cols))
+    spread = held.withColumn("row", F.explode(rows)).withColumn("col", F.explode(cols))
+    low = (grid.west + F.col("col") * grid.size, F.lit(grid.north) - (F.col("row") + 1) * grid.size)
+    moved = F.transform("ring", lambda p: F.struct((p.x - low[0]).alias("x"), (p.y - low[1]).alias("y")))
+    return spread.where(clipped_area(moved, grid.size) > 1e-9).select(key, "row", "col")
+
+
+def gaussian(cells: DataFrame, sigma: float) -> DataFrame:
+    """Blurred by a normal curve of `sigma` cells, cut off at four of them; beyond the edge the raster is mirrored."""
+    reach = int(4 * sigma + 0.5)
+    if sigma <= 0 or reach < 1:
+        return cells.select("row", "col", "value")
+    weight = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(reach + 1)]
+    whole = weight[0] + 2 * sum(weight[1:])
+    held, v = cells.select("row", "col", "value"), F.col("value")
+    for line, at in ((ALONG_ROW, "col"), (ALONG_COLUMN, "row")):
+        last = F.max(at).over(Window.partitionBy(line))
+        held = held.withColumns({"_last": last} | {f"_l{k}": _edge(v, line, k, False) for k in range(reach)} | {f"_h{k}": _edge(v, line, k, True) for k in range(reach)})
+        total = v * (weight[0] / whole)
+        for k in range(1, reach + 1):
+            for back in (True, False):
+                out = (k - 1 - F.col(at)) if back else (F.col(at) + k - 1 - F.col("_last"))
+                mirrored = F.coalesce(*(F.when(out == m, F.col(f"_{'l' if back else 'h'}{m}")) for m in range(k)))
+                total = total + F.coalesce(mirrored, (F.lag if back else F.lead)(v, k).over(_along(line))) * (weight[k] / whole)
+        held = held.select("row", "col", total.alias("value"))
+    return held
