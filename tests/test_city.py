@@ -10,7 +10,7 @@ from urbanloom.functions import geometry as geo
 from urbanloom.operators import graphs, meshes, points, polygons, rasters, sensors
 from urbanloom.operators.ranked import exact_percentiles
 from urbanloom.plans import registry
-from urbanloom.sources import grids, lidar, vectors
+from urbanloom.sources import files, grids, lidar, vectors
 
 
 def _ring(spark, corners):
@@ -154,11 +154,12 @@ def test_registry(spark):
 def test_las_round_trip(spark, tmp_path):
     rng = np.random.default_rng(6)
     at = rng.random((500, 3)) * 100 + [250_000, 6_400_000, 30]
-    df = spark.createDataFrame([(f"c{k % 2}", *map(float, p), k % 30) for k, p in enumerate(at)], "cloud_id string, x double, y double, z double, classification smallint")
-    assert lidar.write_las(df, str(tmp_path)).agg(F.sum("n")).first()[0] == 500
+    df = spark.createDataFrame([(f"c{k % 2}", k, *map(float, p), k % 30, k, 1 + k % 3, 3) for k, p in enumerate(at)], lidar.POINTS)
+    written = files.save(df, str(tmp_path), "point_cloud", "las", points_a_file=100)
+    assert written.agg(F.sum("n"), F.count("*")).first()[0] == 500
     back = lidar.read_las(spark, str(tmp_path))
-    got = sorted((round(r.x, 3), round(r.y, 3), round(r.z, 3), r.classification) for r in back.collect())
-    assert got == sorted((round(x, 3), round(y, 3), round(z, 3), k % 30) for k, (x, y, z) in enumerate(at))
+    got = sorted((round(r.x, 3), round(r.y, 3), round(r.z, 3), r.classification, r.intensity, r.return_number, r.num_returns) for r in back.collect())
+    assert got == sorted((round(x, 3), round(y, 3), round(z, 3), k % 30, k, 1 + k % 3, 3) for k, (x, y, z) in enumerate(at))
     ends = lidar.las_manifest(spark, str(tmp_path)).agg(F.sum("n"), F.min("xmin"), F.max("zmax")).first()
     assert ends[0] == 500 and ends[1] == pytest.approx(at[:, 0].min()) and ends[2] == pytest.approx(at[:, 2].max())
     with pytest.raises(ValueError, match="LAS"):
@@ -175,8 +176,11 @@ def test_text_formats(spark, tmp_path):
     assert sorted(tuple(r) for r in grids.asc_rows(cells).collect()) == [(0, "1.0 2.0 3.0"), (1, "4.0 -9999.0 6.0")]
     assert grids.read_world_file("0.5\n0\n0\n-0.5\n10\n20\n") == (0.5, 0, 10, 0, -0.5, 20)
     (tmp_path / "a.obj").write_text("v 0 0 0\nv 1 0 0\nv 1 1 0\nv 0 1 0\nf 1 2 3 4\nf 1/1 2/2 3/3\n")
-    v, f = grids.read_obj(spark, str(tmp_path / "a.obj"))
-    assert v.count() == 4 and {(r.v0, r.v1, r.v2) for r in f.collect()} == {(0, 1, 2), (0, 2, 3)} and f.count() == 3
+    (tmp_path / "b.obj").write_text("v 0 0 0\nv 1 0 0\nv 1 1 0\nf -3 -2 -1\n")
+    v, f = files.load(spark, str(tmp_path), "mesh", "obj")
+    assert {(r.file, r.v0, r.v1, r.v2) for r in f.collect()} == {("a", 0, 1, 2), ("a", 0, 2, 3), ("b", 0, 1, 2)} and f.count() == 4
+    v, f = v.where("file = 'a'"), f.where("file = 'a'")
+    assert v.count() == 4 and f.count() == 3
     assert [r.line.split()[0] for r in grids.obj_lines(v, f).collect()] == ["v"] * 4 + ["f"] * 3
     corners = np.arange(18, dtype=float).reshape(2, 3, 3)
     assert np.array_equal(grids.decode_stl(grids.encode_stl(corners)), corners)

@@ -76,5 +76,17 @@ def test_the_estimate_finds_the_zone_on_record(spark):
             late = 86_400 if k % 3 == 0 else 60 * (k % 20)  # a third arrives a day late
             rows.append((str(s), int(local.timestamp() * 1e6), int((utc.timestamp() + late) * 1e6)))
     df = spark.createDataFrame(rows, "station_id string, local bigint, received_us bigint")
-    got = {r.station_id: r.zone_estimate for r in estimate_zones(df, sorted(names)).collect()}
-    assert got == {str(s): name for s, name in enumerate(names)}
+    got = {(r.station_id, r.zone_estimate) for r in estimate_zones(df, sorted(names)).collect()}
+    assert got == {(str(s), name) for s, name in enumerate(names)}
+    assert estimate_zones(df.limit(0), names).count() == 0 and estimate_zones(df, []).count() == 0
+
+
+def test_a_change_of_zone_is_found(spark):
+    rows = []
+    for k in range(200):
+        utc = dt.datetime(2022, 1, 1, tzinfo=dt.UTC) + dt.timedelta(days=3 * k)
+        hours = 1 if k < 100 else -5
+        rows.append(("s", int((utc.timestamp() + 3600 * hours) * 1e6), int((utc.timestamp() + 300) * 1e6) if k % 9 else None))
+    df = spark.createDataFrame(rows, "station_id string, local bigint, received_us bigint")
+    got = {r.month: r.zone_estimate for r in estimate_zones(df, ["Etc/GMT+5", "Etc/GMT-1", "UTC"]).collect()}
+    assert got[2022 * 12] == "Etc/GMT-1" and got[2023 * 12 + 5] == "Etc/GMT+5" and list(dict.fromkeys(got[m] for m in sorted(got))) == ["Etc/GMT-1", "Etc/GMT+5"]

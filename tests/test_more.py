@@ -154,7 +154,7 @@ def test_packages(spark, tmp_path):
     import sqlite3
     import struct
 
-    from urbanloom.sources import packages
+    from urbanloom.sources import files, packages
 
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)]
     body = struct.pack("<BIII", 1, 3, 1, 4) + b"".join(struct.pack("<2d", *p) for p in ring)
@@ -165,9 +165,11 @@ def test_packages(spark, tmp_path):
         db.executemany("INSERT INTO prints VALUES (?, ?)", [(1, b"GP\x00\x01" + struct.pack("<i", 3006) + body), (2, b"GP\x00\x03" + struct.pack("<i4d", 3006, 0, 4, 0, 3) + many), (3, None)])
     got = packages.read_gpkg_polygons(spark, str(tmp_path), "prints").collect()
     assert sorted((r.fid, r.part, len(r.ring)) for r in got) == [(1, 0, 4), (2, 0, 4), (2, 1, 4)]
-    (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nelement face 1\nend_header\n0 0 0\n1 0 0\n0 1 0.5\n3 0 1 2\n")
-    v, f = packages.read_ply(spark, str(tmp_path / "a.ply"))
-    assert v.count() == 3 and tuple(f.first()) == (0, 0, 1, 2)
+    (tmp_path / "a.ply").write_text("ply\nformat ascii 1.0\nelement vertex 3\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n0 0 0\n1 0 0\n0 1 0.5\n3 0 1 2\n")
+    v, f = files.load(spark, str(tmp_path / "a.ply"), "mesh")
+    assert v.count() == 3 and tuple(f.first()) == ("a", 0, 0, 1, 2)
+    with pytest.raises(ValueError, match="suffix"):
+        files.load(spark, "a.xyz", "mesh")
 
 
 def test_solids_close(spark):

@@ -31,8 +31,9 @@ def total(values: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area around the first vertex (so that large coordinates lose nothing), positive for counter-clockwise rings."""
-    o = F.get(ring, F.lit(0))
-    return total(per_edge(ring, lambda p, q: (p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y))) / 2
+    first = F.array_repeat(F.get(ring, F.lit(0)), F.size(ring))
+    moved = F.zip_with(ring, first, lambda p, o: F.struct((p.x - o.x).alias("x"), (p.y - o.y).alias("y")))
+    return total(per_edge(moved, lambda p, q: p.x * q.y - q.x * p.y)) / 2
 
 
 def area(ring: Column) -> Column:

@@ -134,10 +134,9 @@ def _split(lines: pa.Array, layout: Layout) -> tuple[np.ndarray, dict[str, pa.Ar
 
 
 def _numbers(text: pa.Array, good: np.ndarray) -> np.ndarray:
-    out = np.full(len(text), np.nan)
-    if good.any():
-        out[good] = np.asarray(text.filter(pa.array(good)).to_pylist(), dtype=object).astype(np.float64)
-    return out
+    """The good texts as doubles, cast as one vector; the others are NaN."""
+    held = pc.if_else(pa.array(good), text, pa.scalar(None, pa.string()))
+    return pc.fill_null(pc.cast(held, pa.float64()), np.nan).to_numpy(zero_copy_only=False)
 
 
 def _judge(part: Part, text: pa.Array) -> tuple[np.ndarray, pa.Array]:

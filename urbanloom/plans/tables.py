@@ -37,6 +37,33 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written; what still reads them fails. Gives their number.
+
+    To be called between jobs of a long session; in any case it happens when the process ends with its session alive."""
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return count
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            drop_written(spark)
+    except Exception:  # noqa: BLE001, S110  the session is gone already
+        pass
+
+
+atexit.register(_at_exit)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read again.
 
@@ -47,6 +74,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,24 +40,6 @@ def mosaic(tiles: DataFrame, how: str = "first") -> DataFrame:
     return tiles.where("value IS NOT NULL AND NOT isnan(value)").groupBy("row", "col").agg(pick.alias("value"))
 
 
-def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (vid from 0, x, y, z) and faces (fid, v0, v1, v2; quads become two) of an OBJ file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    words = lines.select("n", F.split(F.trim("line"), r"\s+").alias("w"))
-    numbered = lambda kind: words.where(F.col("w")[0] == kind).select(F.row_number().over(_by_line()).alias("k"), "w")
-    vertices = numbered("v").select((F.col("k") - 1).cast("bigint").alias("vid"), *(F.col("w")[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")))
-    corners = F.transform(F.slice("w", 2, F.size("w")), lambda c: F.split(c, "/")[0].cast("bigint") - 1)
-    faces = numbered("f").select(F.col("k"), corners.alias("c"))
-    fan = F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.struct(F.col("c")[0].alias("v0"), F.get(F.col("c"), i).alias("v1"), F.get(F.col("c"), i + 1).alias("v2")))
-    return vertices, faces.select(F.col("k").alias("face"), F.posexplode(fan).alias("part", "t")).select(((F.col("face") - 1) * 8 + F.col("part")).cast("bigint").alias("fid"), "t.*")
-
-
-def _by_line():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.orderBy("n")  # one file, whose lines are one row already
-
-
 def obj_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """The lines of an OBJ file in order: n, line."""
     v = vertices.select(F.lit(0).alias("kind"), F.col("vid").alias("n"), F.concat_ws(" ", F.lit("v"), "x", "y", "z").alias("line"))

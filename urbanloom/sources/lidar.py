@@ -19,7 +19,8 @@ from urbanloom.operators.points import Box
 
 POINTS = "cloud_id string, point_id bigint, x double, y double, z double, classification smallint, intensity int, return_number tinyint, num_returns tinyint"
 HEADER = "path string, n bigint, xmin double, ymin double, xmax double, ymax double, zmin double, zmax double"
-#: Fixed values of the format: header size, offsets of the header's fields.
+#: Fixed values of the format: most bytes of a header, header size, offsets of the header's fields.
+HEADER_READ = 375
 HEADER_BYTES, _OFFSET_AT, _FORMAT_AT, _COUNT_AT, _SCALE_AT = 227, 96, 104, 107, 131
 
 
@@ -87,35 +88,19 @@ def read_las(spark: SparkSession, path: str | list[str], box: Box | None = None)
 
 
 def las_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, n and box of every LAS file, from its header."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path", "content")
+    """path, n and box of every LAS file. Only the first bytes of a file are read."""
+    from urbanloom.sources.files import get
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [{"path": p} | {k: v for k, v in header(bytes(d[:375])).items() if k in HEADER} for p, d in zip(batch["path"], batch["content"], strict=True)]
+            rows = [{"path": p} | {k: v for k, v in header(get(p, HEADER_READ)).items() if k in HEADER} for p in batch["path"]]
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in HEADER.split(", ")])
 
     return files.mapInPandas(run, HEADER)
 
 
-def write_las(points: DataFrame, folder: str) -> DataFrame:
-    """One LAS file per cloud and task in a folder that all workers reach; returns the written files when acted on."""
-    columns = ["cloud_id", "x", "y", "z", "classification"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
-        held = pd.concat([pd.DataFrame(columns=columns), *batches])
-        for cloud, own in held.groupby("cloud_id"):
-            path = os.path.join(folder, f"{cloud}-{uuid.uuid4().hex}.las")
-            with open(path, "wb") as f:
-                f.write(encode(*(own[c].to_numpy(float) for c in "xyz"), own["classification"].fillna(1).to_numpy(float)))
-            yield pd.DataFrame({"path": [path], "n": [len(own)]})
-
-    return points.select(*columns).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)").mapInPandas(run, "path string, n bigint")
-
-
 def read_xyz(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
     """Delimited x, y, z and an optional class, 1 where missing."""
     raw = spark.read.text(path).where("trim(value) != ''").select(F.split("value", f"\\Q{delimiter}\\E").alias("f"))

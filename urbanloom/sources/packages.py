@@ -1,4 +1,4 @@
-"""GeoPackage layers and ASCII PLY meshes."""
+"""GeoPackage layers."""
 
 from __future__ import annotations
 
@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from urbanloom.sources.vectors import RING
 
@@ -68,15 +67,3 @@ def read_gpkg_polygons(spark: SparkSession, path: str, layer: str, geometry: str
                 yield pd.DataFrame(out, columns=["path", "fid", "part", "ring"])
 
     return files.mapInPandas(run, f"path string, fid bigint, part int, ring {RING}")
-
-
-def read_ply(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Vertices (vid, x, y, z) and triangles (fid, v0, v1, v2) of an ASCII PLY file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    head = {r.line.split()[1]: (r.n, int(r.line.split()[2])) if r.line.startswith("element") else (r.n, 0) for r in lines.where("line LIKE 'element %'").collect()}
-    end = lines.where("trim(line) = 'end_header'").agg(F.min("n")).first()[0]
-    count = head["vertex"][1]
-    words = lines.where(F.col("n") > end).select((F.col("n") - end - 1).cast("bigint").alias("k"), F.split(F.trim("line"), r"\s+").alias("w"))
-    vertices = words.where(F.col("k") < count).select(F.col("k").alias("vid"), *(F.col("w")[i].cast("double").alias(c) for i, c in enumerate("xyz")))
-    faces = words.where((F.col("k") >= count) & (F.size("w") >= 4)).select((F.col("k") - count).alias("fid"), *(F.col("w")[i + 1].cast("bigint").alias(f"v{i}") for i in range(3)))
-    return vertices, faces
