@@ -352,7 +352,7 @@ def tree_in_box_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def disjoint_meshes(spark: SparkSession, sf: str) -> DataFrame:
-    """Component of every vertex when every tenth face is missing."""
+    """Component of every vertex when three of every ten faces are missing, so that the mesh falls into parts."""
     faces = _mesh(spark, sf)[1].where("fid % 10 NOT IN (7, 8, 9)")
     edges = faces.select(F.inline(F.array(*(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in (("v0", "v1"), ("v1", "v2"))))))
     return graphs.connected_components(written(edges, "mesh-edges"))

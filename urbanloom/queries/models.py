@@ -75,7 +75,7 @@ def mesh_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mesh_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mesh after one sweep, and z after a second one of z alone."""
+    """The mesh after one sweep."""
     vertices, faces, _ = _mesh(spark, sf_dir)
     return meshes.smooth_mesh(vertices, faces).select("vid", *(F.round(c, 5).alias(c) for c in "xyz"))
 
@@ -340,7 +340,7 @@ def _extent(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 def dataset_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings over the whole extent: the number of roof points doesn't matter here, the roof does."""
+    """The buildings that meet the points' extent, with the roof height over all their points."""
     held = registry.get("buildings")(spark, folder=sf_dir, bounds=_extent(spark, sf_dir))
     return held.select("building_id", F.round("roof", 4).alias("roof"))
 

@@ -61,7 +61,7 @@ def mosaic_max(spark: SparkSession, sf: str) -> DataFrame:
     tiles = held.groupBy("cloud_id", grid.row(F.col("y")).alias("row"), grid.col(F.col("x")).alias("col")).agg(F.max("z").alias("value"))
     from urbanloom.sources.grids import mosaic
 
-    return mosaic(tiles.withColumnRenamed("cloud_id", "tile"), "min")
+    return mosaic(tiles.withColumnRenamed("cloud_id", "tile"), "max")
 
 
 def snap_trees(spark: SparkSession, sf: str) -> DataFrame:
@@ -280,7 +280,7 @@ SQL = {
     "blur_raster": _stencil([(i, j, (2 - abs(i)) * (2 - abs(j))) for i in (-1, 0, 1) for j in (-1, 0, 1)], 16, 8),
     "terrain_mesh": f"""WITH {_GRID}, mx AS (SELECT max("row") AS mr, max(col) AS mc FROM d), q AS (SELECT "row"::BIGINT * (mc + 1) + col AS q, mc + 1 AS w FROM d, mx WHERE "row" < mr AND col < mc) SELECT q * 2 AS fid, q AS v0, q + w AS v1, q + 1 AS v2 FROM q UNION ALL SELECT q * 2 + 1, q + 1, q + w, q + w + 1 FROM q""",
     "flat_terrain": "SELECT min(z) AS value, min(x) AS west, max(y) FILTER (NOT isnan(y)) AS north FROM points WHERE z IS NOT NULL AND NOT isnan(z)",
-    "mosaic_max": f"""WITH {_GRID}, t AS (SELECT cloud_id, floor((n * {CELL} - y) / {CELL})::INT AS "row", floor((x - w * {CELL}) / {CELL})::INT AS col, max(z) AS z FROM p, g WHERE {_OK} AND z IS NOT NULL AND NOT isnan(z) GROUP BY 1, 2, 3) SELECT "row", col, min(z) AS value FROM t GROUP BY 1, 2""",
+    "mosaic_max": f"""WITH {_GRID}, t AS (SELECT cloud_id, floor((n * {CELL} - y) / {CELL})::INT AS "row", floor((x - w * {CELL}) / {CELL})::INT AS col, max(z) AS z FROM p, g WHERE {_OK} AND z IS NOT NULL AND NOT isnan(z) GROUP BY 1, 2, 3) SELECT "row", col, max(z) AS value FROM t GROUP BY 1, 2""",
     "snap_trees": f"WITH RECURSIVE t AS (SELECT DISTINCT tree_id, x, y FROM trees WHERE {_OK}), e AS (SELECT DISTINCT a.tree_id AS src, b.tree_id AS dst FROM t a JOIN t b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1), {_components('e')} SELECT node, component FROM cc",
     "ray_roofs": f"WITH {_B}, z AS (SELECT * FROM b WHERE zmax IS NOT NULL AND NOT isnan(zmax)), r AS (SELECT bounds_id AS ray_id, xmin + 0.3 * (xmax - xmin) AS x, ymin + 0.4 * (ymax - ymin) AS y FROM z) SELECT ray_id, round(max(zmax), 3) AS z FROM r JOIN z ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax WHERE xmax > xmin AND ymax > ymin GROUP BY 1",
     "edge_connections": f"WITH {_V}, s AS (SELECT fid, unnest([struct_pack(a := least(v0, v1), b := greatest(v0, v1)), struct_pack(a := least(v1, v2), b := greatest(v1, v2)), struct_pack(a := least(v2, v0), b := greatest(v2, v0))]) AS e FROM f) SELECT DISTINCT s.fid, o.fid AS other FROM s JOIN s o ON s.e = o.e WHERE s.fid < o.fid",
