@@ -193,3 +193,93 @@ def test_pieces_with_other_limits(spark):
     assert all(r.n_tokens <= 200 for r in splitting.pieces(df, 200, 20).collect())
     with pytest.raises(ValueError, match="overlap"):
         splitting.pieces(df, 100, 90)
+
+
+# bounds, hot values, other types
+
+
+def test_sketches_of_two_alphas_are_refused(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in range(1, 50)], "g int, v double")
+    both = quantiles.sketch(df, ["g"], "v", 0.002).union(quantiles.sketch(df, ["g"], "v", 0.01))
+    with pytest.raises(Exception, match="another alpha"):
+        quantiles.percentiles(quantiles.merged(both, ["g"]), ["g"], {"m": 0.5}).collect()
+
+
+def test_tiny_values_keep_the_relative_error(spark):
+    values = [1e-200 * k for k in range(1, 101)]
+    df = spark.createDataFrame([(1, v) for v in values], "g int, v double")
+    r = quantiles.percentiles(quantiles.sketch(df, ["g"], "v"), ["g"], {"m": 0.5}).first()
+    assert r.m == pytest.approx(float(np.quantile(values, 0.5)), rel=0.0021)
+
+
+def test_one_hot_bucket_is_settled_in_ranges(spark):
+    rng = np.random.default_rng(5)
+    values = [float(v) for v in 100 + rng.random(400) / 10]
+    rows = [(k, "w", f"p{k % 2}", v) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id bigint, w string, p string, v double")
+    m = float(np.quantile(values, 0.5))
+    stats = spark.createDataFrame([(1, "w", None, m + 0.0011), (2, "w", None, m + 0.0009)], "sid bigint, w string, p string, m double")
+    got = quantiles.wrong_statistics(df, "id", "v", "w", "p", [], stats, "sid", {"a": ("m", 0.5)}, 0.001, relative=False, sort_rows=10)
+    assert {r[0] for r in got.collect()} == {1}
+
+
+def test_leaks_with_text_keys_and_repeated_phrases(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    documents = spark.createDataFrame([("a", ("w0 w1 w2 w3 w4 " * 3000) + item), ("b", "w0 w1 w2 w3 w4 " * 3000), (None, item)], "key string, text string")
+    items = spark.createDataFrame([("i", item), ("j", "w0 w1 w2 w3 w4 w0 w1")], "name string, text string")
+    got = {tuple(r) for r in leak.leaks(documents, items, "key", "name").collect()}
+    assert got == {("a", "i"), ("a", "j"), ("b", "j")}
+
+
+def _mixed(spark, count=400):
+    pick = random.Random(9)
+    rows = [(k, pick.choice("abc"), f"l{pick.randrange(40)}", [f"t{pick.randrange(200)}" for _ in range(pick.randrange(4))], "word " * pick.randrange(1, 40)) for k in range(count)]
+    return spark.createDataFrame(rows, "doc_id bigint, source string, lang string, tags array<string>, text string"), spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 2), ("d", 0.1, 1)], "source string, weight double, max_repeats int")
+
+
+def test_many_languages_and_topics_are_kept_apart(spark):
+    documents, targets = _mixed(spark)
+    held = mixing.Mixture(documents, targets)
+    margins = {(r.margin, r.label): r for r in held.margins().collect()}
+    assert len([k for k in margins if k[0] == "topic"]) > 150 and len([k for k in margins if k[0] == "lang"]) == 40
+    assert sum(r.natural_share for k, r in margins.items() if k[0] == "topic") == pytest.approx(1)
+    assert {r.source for r in held.shares().where("falls_short").collect()} >= {"d"}
+
+
+def test_cells_as_a_table_fit_alike(spark):
+    documents, targets = _mixed(spark, 120)
+    one = {(r.source, r.lang, tuple(r.topics)): r.expected for r in mixing.Mixture(documents, targets).cells.collect()}
+    cells = mixing.Mixture(documents, targets).cells.select("source", "lang", "topics", "tokens", "cap")
+    wanted = mixing.Mixture(documents, targets).goals.select("source", "wanted")
+    rooms = cells.groupBy("source").agg(F.sum(F.col("tokens") * F.col("cap")).alias("room")).join(wanted, "source")
+    reach = rooms.agg(F.sum(F.least("room", "wanted"))).first()[0]
+    two = mixing.rake_table(cells, wanted, reach, rounds=3).collect()
+    three = {}
+    rows = cells.collect()
+    places = {r.source: k for k, r in enumerate(wanted.collect())}
+    tokens, cap = np.array([r.tokens for r in rows], float), np.array([r.cap for r in rows], float)
+    margins = []
+    for labels in ([[r.lang] for r in rows], [r.topics for r in rows]):
+        cell = np.repeat(np.arange(len(rows)), [len(x) for x in labels])
+        part = 1.0 / np.array([len(x) for x in labels], float)[cell]
+        _, label = np.unique([v for x in labels for v in x], return_inverse=True)
+        natural = np.bincount(label, tokens[cell] * part)
+        margins.append((cell, label, part, natural / natural.sum() * reach))
+    factor = mixing.rake(tokens, cap, np.array([places[r.source] for r in rows]), np.array([r.wanted for r in wanted.collect()]), margins, rounds=3)
+    three = {(r.source, r.lang, tuple(r.topics)): f for r, f in zip(rows, factor, strict=True)}
+    assert {k for k in one} == {(r.source, r.lang, tuple(r.topics)) for r in two}
+    assert all(r.expected == pytest.approx(three[r.source, r.lang, tuple(r.topics)], rel=1e-6, abs=1e-9) for r in two)
+
+
+def test_running_sums(spark):
+    steps = [random.Random(1).randrange(1, 9) for _ in range(1000)]
+    df = spark.createDataFrame([(steps,), ([],), ([5],)], "s array<int>")
+    got = [r[0] for r in df.select(splitting.running_sums(F.col("s"))).collect()]
+    assert got == [np.cumsum(steps).tolist(), [], [5]]
+
+
+def test_pieces_of_a_very_long_text_with_text_keys(spark):
+    text = "Some words of a sentence. " * 60_000
+    df = spark.createDataFrame([("k", text)], "doc_id string, text string")
+    own = sorted(splitting.pieces(df).collect(), key=lambda r: r.piece)
+    assert len(own) > 300 and own[-1].start + len(own[-1].text) == len(text) and all(r.text == text[r.start : r.start + len(r.text)] for r in own)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.functions.buckets import Buckets
 from urbanloom.llm import leak, mixing, quantiles, splitting
 from urbanloom.plans.tables import table
 
@@ -24,14 +25,24 @@ def p1_cloud_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     held = table(spark, sf, "points").select("point_id", "cloud_id", "strip_id", "classification", "z").where("z IS NOT NULL AND NOT isnan(z)").distinct()
     strips = quantiles.sketch(held, ["cloud_id", "strip_id", "classification"], "z")
     keys = ["cloud_id", "classification"]
-    return quantiles.percentiles(quantiles.merged(strips, keys), keys, SHARES)
+    return _rounded(quantiles.percentiles(quantiles.merged(strips, keys), keys, SHARES), keys, list(SHARES))
 
 
 def p1_network_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Length percentiles of every network, combined from the sketches of its batches."""
     held = table(spark, sf, "road_edges").select("eid", "network_id", "batch_id", "length").where(f"length > {LEAST_LENGTH} AND NOT isnan(length)").distinct()
     batches = quantiles.sketch(held, ["network_id", "batch_id"], "length")
-    return quantiles.percentiles(quantiles.merged(batches, ["network_id"]), ["network_id"], {"median": 0.5, "p90": 0.9})
+    return _rounded(quantiles.percentiles(quantiles.merged(batches, ["network_id"]), ["network_id"], {"median": 0.5, "p90": 0.9}), ["network_id"], ["median", "p90"])
+
+
+def _rounded(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    return df.select(*keys, "n", *(F.round(f"{n}{end}", 4).alias(f"{n}{end}") for n in names for end in ("", "_min", "_max")))
+
+
+def p1_bucket_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The sketch of every whole network: buckets and how many lengths each holds, added up over its batches."""
+    held = table(spark, sf, "road_edges").select("eid", "network_id", "batch_id", "length").where(f"length > {LEAST_LENGTH} AND NOT isnan(length)").distinct()
+    return quantiles.merged(quantiles.sketch(held, ["network_id", "batch_id"], "length"), ["network_id"]).select("network_id", "bucket", "n")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,10 +85,40 @@ def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.pieces(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cloud_percentiles, p1_network_percentiles, p6_found, p6_suites, p7_found, p7_mixture, p7_shares, p7_margins, p8_found, p8_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_cloud_percentiles, p1_network_percentiles, p1_bucket_counts, p6_found, p6_suites, p7_found, p7_mixture, p7_shares, p7_margins, p8_found, p8_pieces)}
+
+_SCHEME = Buckets(quantiles.ALPHA)
+
+
+def _bucket(v: str) -> str:
+    """SQL of the bucket of a value."""
+    level = f"CAST(ceil(ln(abs({v})) / {_SCHEME.log!r}) AS BIGINT) - {_SCHEME.first} + 1"
+    return f"CASE WHEN {v} = 0 THEN 0 WHEN {v} < 0 THEN -({level}) ELSE {level} END"
+
+
+def _sketched(rows: str, keys: str, value: str, shares: dict[str, float]) -> str:
+    """SQL of the percentiles of a sketch: buckets are counted, ranks are looked up by running sums."""
+    edge = lambda level: f"exp(({level} + {_SCHEME.first - 1}) * {_SCHEME.log!r})"
+    size = "abs(bucket)"
+    # per bucket: estimate, least and greatest value
+    ends = f"""SELECT *, CASE WHEN bucket = 0 THEN 0.0 ELSE sign(bucket) * {edge(size)} * {2 / (_SCHEME.gamma + 1)!r} END AS e,
+      CASE WHEN bucket > 0 THEN {edge(size + " - 1")} * (1 - 1e-9) ELSE -{edge(size)} * (1 + 1e-9) END AS lo, CASE WHEN bucket > 0 THEN {edge(size)} * (1 + 1e-9) ELSE -{edge(size + " - 1")} * (1 - 1e-9) END AS hi,
+      sum(n) OVER (PARTITION BY {keys} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total FROM s"""
+    out = []
+    for name, share in shares.items():
+        rank = f"({share!r} * (total - 1))"
+        at = lambda c, f, rank=rank: f"max({c}) FILTER (upto - n <= {f}({rank}) AND {f}({rank}) < upto)"
+        part = f"any_value({rank} - floor({rank}))"
+        out += [f"round({at(c, 'floor')} * (1 - {part}) + {at(c, 'ceil')} * {part}, 4) AS {name}{end}" for c, end in (("e", ""), ("lo", "_min"), ("hi", "_max"))]
+    return f"WITH s AS (SELECT {keys}, {_bucket(value)} AS bucket, count(*) AS n FROM ({rows}) GROUP BY ALL), b AS ({ends}) SELECT {keys}, any_value(total)::BIGINT AS n, {', '.join(out)} FROM b GROUP BY {keys}"
+
 
+_LENGTHS = f"SELECT DISTINCT eid, network_id, batch_id, length FROM road_edges WHERE length > {LEAST_LENGTH} AND NOT isnan(length)"
 _EXACT = "SELECT {keys}, quantile_cont({v}, 0.5) AS m, quantile_cont({v}, 0.9) AS q FROM {t} GROUP BY {keys}"
 SQL = {
+    "p1_cloud_percentiles": _sketched("SELECT DISTINCT point_id, cloud_id, strip_id, classification, z FROM points WHERE z IS NOT NULL AND NOT isnan(z)", "cloud_id, classification", "z", SHARES),
+    "p1_network_percentiles": _sketched(_LENGTHS, "network_id", "length", {"median": 0.5, "p90": 0.9}),
+    "p1_bucket_counts": f"SELECT network_id, ({_bucket('length')})::INT AS bucket, count(*) AS n FROM ({_LENGTHS}) GROUP BY ALL",
     "p1_found": f"""
     WITH e AS (SELECT DISTINCT eid, network_id, batch_id, length FROM road_edges WHERE length > {LEAST_LENGTH} AND NOT isnan(length)),
     eg AS ({_EXACT.format(keys="network_id, batch_id", v="length", t="e")} UNION ALL SELECT network_id, NULL, quantile_cont(length, 0.5), quantile_cont(length, 0.9) FROM e GROUP BY network_id),
