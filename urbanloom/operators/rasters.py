@@ -15,6 +15,8 @@ from pyspark.sql.window import WindowSpec
 
 from urbanloom.operators.points import GROUND
 
+#: Cells of a raster, at most: a country at half a metre.
+MOST_CELLS = 10**13
 #: The lines that windows run along: the column that is fixed.
 ALONG_ROW, ALONG_COLUMN = "row", "col"
 
@@ -56,7 +58,9 @@ class Grid:
         return self.north - self.size * (row + 0.5)
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        """All cells, generated where they are used."""
+        """All cells, generated where they are used. A stray coordinate makes a raster vast: more than MOST_CELLS raise."""
+        if self.rows * self.cols > MOST_CELLS:
+            raise ValueError(f"a raster of {self.rows} x {self.cols} cells; crop the points or use larger cells")
         at = spark.range(self.rows * self.cols)
         return at.select(F.floor(F.col("id") / self.cols).cast("int").alias("row"), (F.col("id") % self.cols).cast("int").alias("col"))
 

@@ -282,6 +282,11 @@ SQL = {
     "flat_terrain": "SELECT min(z) AS value, min(x) AS west, max(y) FILTER (NOT isnan(y)) AS north FROM points WHERE z IS NOT NULL AND NOT isnan(z)",
     "mosaic_max": f"""WITH {_GRID}, t AS (SELECT cloud_id, floor((n * {CELL} - y) / {CELL})::INT AS "row", floor((x - w * {CELL}) / {CELL})::INT AS col, max(z) AS z FROM p, g WHERE {_OK} AND z IS NOT NULL AND NOT isnan(z) GROUP BY 1, 2, 3) SELECT "row", col, max(z) AS value FROM t GROUP BY 1, 2""",
     "snap_trees": f"WITH RECURSIVE t AS (SELECT DISTINCT tree_id, x, y FROM trees WHERE {_OK}), e AS (SELECT DISTINCT a.tree_id AS src, b.tree_id AS dst FROM t a JOIN t b ON b.x BETWEEN a.x - 1 AND a.x + 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 1), {_components('e')} SELECT node, component FROM cc",
+    "tree_nms": f"""WITH RECURSIVE t AS (SELECT x, y, height, CASE WHEN crown_radius > 0 AND NOT isnan(crown_radius) THEN crown_radius END AS c FROM trees WHERE {_OK} AND height > 0 AND height < 100), m AS (SELECT x, y, max(height) AS height FROM t GROUP BY 1, 2),
+      p AS (SELECT x, y, height, coalesce(max(c), least(greatest(0.22 * pow(height, 0.87), 0.8), 6.0)) AS r FROM m JOIN t USING (x, y, height) GROUP BY x, y, height), q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY height DESC, x DESC, y DESC) - 1 AS i FROM p WHERE r >= 0.6), k AS MATERIALIZED (SELECT count(*) AS k FROM q),
+      u AS MATERIALIZED (SELECT a.i, list(b.i) AS w FROM q a JOIN q b ON b.i > a.i AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.r AND a.height - b.height < 8 AND a.height - b.height < 0.3 * a.height GROUP BY 1),
+      s(i, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.i + 1, CASE WHEN list_contains(gone, s.i) THEN gone ELSE list_concat(gone, coalesce(w, []::BIGINT[])) END FROM s LEFT JOIN u ON u.i = s.i CROSS JOIN k WHERE s.i < k)
+      SELECT x, y, height FROM q WHERE i NOT IN (SELECT unnest(gone) FROM s, k WHERE s.i = k)""",
     "ray_roofs": f"WITH {_B}, z AS (SELECT * FROM b WHERE zmax IS NOT NULL AND NOT isnan(zmax)), r AS (SELECT bounds_id AS ray_id, xmin + 0.3 * (xmax - xmin) AS x, ymin + 0.4 * (ymax - ymin) AS y FROM z) SELECT ray_id, round(max(zmax), 3) AS z FROM r JOIN z ON x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax WHERE xmax > xmin AND ymax > ymin GROUP BY 1",
     "edge_connections": f"WITH {_V}, s AS (SELECT fid, unnest([struct_pack(a := least(v0, v1), b := greatest(v0, v1)), struct_pack(a := least(v1, v2), b := greatest(v1, v2)), struct_pack(a := least(v2, v0), b := greatest(v2, v0))]) AS e FROM f) SELECT DISTINCT s.fid, o.fid AS other FROM s JOIN s o ON s.e = o.e WHERE s.fid < o.fid",
     "boundary_vertices": f"WITH {_V} SELECT vid, row_number() OVER (ORDER BY y, z, vid)::INT AS place FROM v WHERE x >= (SELECT max(x) FROM v) - 40",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urbanloom.functions import timeparse, unitnames
 from urbanloom.operators import instants, nearby, records, units
 from urbanloom.plans.tables import table
 
@@ -130,12 +131,55 @@ def _typed(parts: tuple[records.Part, ...]) -> str:
     return ", ".join(f"CAST(nullif({p.name}, '') AS {kinds[p.spark]}) AS {p.name}" for p in parts)
 
 
+_QUOTED = lambda t: "'" + t.replace("'", "''") + "'"
+_FOLDED = lambda c: f"regexp_replace(replace(replace(translate(lower(trim({c})), {_QUOTED(unitnames._FROM)}, {_QUOTED(unitnames._TO)}), '℃', '°c'), '℉', '°f'), '[\\s._()^]+', '', 'g')"
+
+
+def _named_unit(text: str) -> str:
+    """SQL of the unit code that a text names for the field `o.field`: a code of the unit table as it is, folded, or a spelling."""
+    spelt = " ".join(f"WHEN '{f}' THEN CASE {' '.join(f'WHEN regexp_full_match({_FOLDED(text)}, {_QUOTED(p)}) THEN {_QUOTED(c)}' for c, p in units_)} END" for f, units_ in unitnames.PATTERNS.items())
+    own = lambda match: f"(SELECT min(unit_code) FROM units u WHERE u.field = o.field AND {match} HAVING count(DISTINCT unit_code) = 1)"
+    return f"coalesce({own(f'trim(u.unit_code) = trim({text})')}, {own(_FOLDED('u.unit_code') + ' = ' + _FOLDED(text))}, CASE o.field {spelt} END)"
+
+
+_CASES = lambda values, of: f"CASE {of} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+_READ = " ".join(f"WHEN regexp_matches(t, {_QUOTED(pattern)}) THEN regexp_replace(t, {_QUOTED(pattern)}, '{order.replace('$', chr(92))}')" for pattern, order in timeparse._FORMS)
+_NUM = lambda c: f"TRY_CAST({c} AS INT)"
+#: The clock of a zone at a UTC instant, and the instant that a local time means by the offset of a day before or after.
+_SHOWN = lambda u: f"timezone(zone, timezone('UTC', {u}))"
+_MEANT = lambda sign: f"loc - ({_SHOWN(f'loc {sign} INTERVAL 1 DAY')} - (loc {sign} INTERVAL 1 DAY))"
+_INSTANT_SQL = f"""
+    WITH kz AS (SELECT name FROM pg_timezone_names() WHERE name LIKE '%/%' OR name = 'UTC'), own AS (SELECT station_id, min(tz_name) AS tz FROM station_zones WHERE tz_name IN (SELECT name FROM kz) GROUP BY 1),
+    a AS (SELECT DISTINCT snapshot_id, station_id, received_at, coalesce(nullif(json_extract_string(attributes, '$.timestamp'), ''), nullif(json_extract_string(attributes, '$.lastValue.timestamp'), '')) AS written FROM sensor_snapshots),
+    b AS (SELECT *, trim(written) AS t FROM a WHERE written IS NOT NULL),
+    c AS (SELECT *, string_split(CASE {_READ} END, '|') AS p, CASE WHEN regexp_matches(t, '^[0-9]{{9,16}}([.][0-9]{{1,6}})?$') AND NOT regexp_matches(t, '^[0-9]{{14}}$') THEN TRY_CAST(t AS DECIMAL(24, 6)) END AS e FROM b),
+    d AS (SELECT *, {_NUM("p[1]")} AS y, coalesce({_NUM("p[2]")}, {_CASES(timeparse.MONTHS, "lower(p[2])")}) AS mo, {_NUM("p[3]")} AS dd, lower(p[8]) AS half, {_NUM("p[4]")} AS h12, {_NUM("p[5]")} AS mi,
+      CASE WHEN p[6] = '' THEN 0 ELSE {_NUM("p[6]")} END AS se, CASE WHEN p[7] = '' THEN 0 ELSE {_NUM("substring(rpad(p[7], 6, '0'), 1, 6)")} END AS fr, p[9] AS z, regexp_replace(p[9], '[^0-9]', '', 'g') AS dg,
+      CASE WHEN e >= 946684800 AND e < 4102444800 THEN floor(e * 1000000) WHEN e >= 946684800000 AND e < 4102444800000 THEN floor(e * 1000) WHEN e >= 946684800000000 AND e < 4102444800000000 THEN floor(e) END::BIGINT AS epoch FROM c),
+    f AS (SELECT *, CASE WHEN half = '' THEN h12 WHEN h12 BETWEEN 1 AND 12 THEN h12 % 12 + CASE WHEN half = 'pm' THEN 12 ELSE 0 END END AS h,
+      CASE WHEN regexp_matches(z, '^[+-][0-9]') THEN CASE WHEN {_NUM("substring(dg, 1, 2)")} <= 18 AND (length(dg) < 4 OR {_NUM("substring(dg, 3, 2)")} <= 59) THEN (CASE WHEN z LIKE '-%' THEN -1 ELSE 1 END) * ({_NUM("substring(dg, 1, 2)")} * 60 + CASE WHEN length(dg) > 2 THEN {_NUM("substring(dg, 3, 2)")} ELSE 0 END) END
+        ELSE {_CASES(timeparse.ABBREVIATIONS, "upper(z)")} END AS off, CASE WHEN z IN (SELECT name FROM kz) THEN z END AS tz1 FROM d),
+    g AS (SELECT f.*, CASE WHEN h BETWEEN 0 AND 23 AND mi BETWEEN 0 AND 59 AND se BETWEEN 0 AND 59 AND y >= 1 THEN TRY_CAST(printf('%04d-%02d-%02d %02d:%02d:%02d', y, mo, dd, h, mi, se) AS TIMESTAMP) END + to_microseconds(fr) AS loc,
+      coalesce(z != '', false) AS zoned, coalesce(tz1, CASE WHEN NOT coalesce(z != '', false) THEN tz END) AS zone FROM f LEFT JOIN own USING (station_id)),
+    i AS (SELECT *, CASE WHEN epoch IS NOT NULL THEN make_timestamp(epoch) ELSE loc - to_minutes(off) END AS said, {_MEANT("-")} AS u0, {_MEANT("+")} AS u1 FROM g),
+    j AS (SELECT *, CASE WHEN {_SHOWN("u0")} = loc THEN u0 END AS early, CASE WHEN {_SHOWN("u1")} = loc THEN u1 END AS late FROM i),
+    k AS (SELECT *, CASE WHEN said IS NOT NULL THEN 'ok' WHEN loc IS NULL OR (zoned AND zone IS NULL) THEN 'unreadable' WHEN zone IS NULL THEN 'no_zone' WHEN early IS NULL AND late IS NULL THEN 'nonexistent' WHEN early != late THEN 'ambiguous' ELSE 'ok' END AS status FROM j)
+    SELECT snapshot_id, CASE WHEN status = 'ok' THEN strftime(coalesce(said, early, late), '%Y-%m-%dT%H:%M:%S.%fZ') ELSE status END AS utc FROM k
+    WHERE NOT (status = 'ok' AND regexp_matches(written, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}[.][0-9]{{6}}Z$'))"""
+_PHRASED = ", ".join(f"nullif(regexp_extract(description, {_QUOTED(p)}, 1), '') AS p{k}" for k, p in enumerate(unitnames.PHRASES))
 _XY = "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)"
 SQL = {
     "p2_found": f"SELECT record_id, reason FROM ({_POINT_SQL}) WHERE reason IS NOT NULL UNION ALL SELECT record_id, reason FROM ({_FIELD_SQL}) WHERE reason IS NOT NULL",
     "p2_points": f"SELECT record_id, {_typed(records.POINTS.parts)} FROM ({_POINT_SQL}) WHERE reason IS NULL",
     "p2_fields": f"SELECT record_id, {_typed(records.FIELDS.parts)} FROM ({_FIELD_SQL}) WHERE reason IS NULL",
     "p2_reasons": f"SELECT layout, coalesce(reason, 'valid') AS reason, count(*) AS n FROM (SELECT layout, reason FROM ({_POINT_SQL}) UNION ALL SELECT layout, reason FROM ({_FIELD_SQL})) GROUP BY 1, 2",
+    "p3_found": _INSTANT_SQL,
+    "p4_found": f"""
+    WITH w AS (SELECT DISTINCT field, unit, description FROM observations), o AS (SELECT *, {_PHRASED} FROM w),
+    n AS (SELECT o.field, o.unit, o.description, coalesce({_named_unit("o.unit")}, {", ".join(_named_unit(f"o.p{k}") for k in range(len(unitnames.PHRASES)))}) AS code FROM o)
+    SELECT DISTINCT obs_id, code AS unit_code, CAST(round_even((value * factor + shift) * 1000, 0) AS BIGINT) AS milli
+    FROM observations b JOIN n ON b.field IS NOT DISTINCT FROM n.field AND b.unit IS NOT DISTINCT FROM n.unit AND b.description IS NOT DISTINCT FROM n.description
+    JOIN units u ON u.field = b.field AND u.unit_code = code WHERE NOT is_common AND value IS NOT NULL AND NOT isnan(value)""",
     "p5_found": f"""
     WITH t AS (SELECT DISTINCT tree_id, x, y, floor(x / 2)::BIGINT AS gx, floor(y / 2)::BIGINT AS gy FROM trees WHERE tree_id IS NOT NULL AND {_XY}),
     tn AS (SELECT tree_id, x, y, gx + i AS gx, gy + j AS gy FROM t, (VALUES (-1), (0), (1)) a(i), (VALUES (-1), (0), (1)) b(j)),
