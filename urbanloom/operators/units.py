@@ -151,8 +151,11 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
     kept = observations.select("obs_id", "station_id", "field", "value", "unit", "description", F.coalesce("ts", "received_at").alias("at")).where("value IS NOT NULL AND NOT isnan(value)").distinct()
     known = UnitTable(units)
     common = units.select(F.col("field").alias("_f"), F.col("unit_code").alias("_u"), "factor", "shift", "is_common")
-    # names are read once; both the scales and the chain start from the written table
-    named = written(stated_units(kept, units).drop("unit", "description"), "stated")
+    # every wording is read once, however many rows share it; both the scales and the chain start from the written table
+    words = ["field", "unit", "description"]
+    wordings = written(stated_units(observations.where("value IS NOT NULL AND NOT isnan(value)").select(*words).distinct(), units), "wordings")
+    told = wordings.select(*(F.col(c).alias(f"_{c}") for c in words), "stated_unit", "basis")
+    named = written(kept.join(told, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in words]).drop(*words[1:], *(f"_{c}" for c in words)), "stated")
     # the scale of a field: the median size of its stated values in the common unit
     sized = named.join(common, (named.field == F.col("_f")) & (named.stated_unit == F.col("_u"))).groupBy("_f").agg(F.percentile_approx(F.abs(F.col("value") * F.col("factor") + F.col("shift")), 0.5, 1000).alias("scale"))
     named = named.join(sized, named.field == sized._f, "left").drop("_f")
