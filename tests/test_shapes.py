@@ -36,9 +36,15 @@ def test_segments_against_flooding(spark, seed):
     least = 40.0
     cells = spark.createDataFrame([(r, c, float(height[r, c])) for r in range(14) for c in range(17)], "row int, col int, value double")
     peaks = [tuple(p) for p in np.argwhere(height == np.array([[height[max(0, r - 1) : r + 2, max(0, c - 1) : c + 2].max() for c in range(17)] for r in range(14)])) if height[tuple(p)] >= least]
-    tops = peaks[::3]
-    got = {(r.row, r.col): divmod(r.top, 17) for r in trees.segments(cells, 17, spark.createDataFrame([(int(r), int(c)) for r, c in tops], "row int, col int"), least).collect()}
-    assert got == {k: (int(v[0]), int(v[1])) for k, v in _flooded(height, tops, least).items()}
+    frame = lambda tops: spark.createDataFrame([(int(r), int(c)) for r, c in tops], "row int, col int")
+    found = lambda tops: {(r.row, r.col): divmod(r.top, 17) for r in trees.segments(cells, 17, frame(tops), least).collect()}
+    basins = found(peaks)
+    assert basins == {tuple(map(int, k)): tuple(map(int, v)) for k, v in _flooded(height, peaks, least).items()}
+    # with fewer tops whole basins join others, and a basin that has one keeps it
+    some = [tuple(map(int, p)) for p in peaks[::3]]
+    joined = found(some)
+    assert set(joined.values()) == set(some) and all(joined[k] == v for k, v in basins.items() if v in some)
+    assert all(joined[k] == joined[v] for k, v in basins.items() if v in joined)
 
 
 def test_windows_and_blur(spark):

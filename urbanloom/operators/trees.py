@@ -102,8 +102,9 @@ def segments(heights: DataFrame, width: int, tops: DataFrame, least: float) -> D
 
     `heights` (row, col, value) is dense. Cells flow to the highest of the nine
     around them (ties: the later row, then column) and so form one basin a peak;
-    a basin without a top joins the neighbour over its highest pass, again and
-    again, which is what flooding from the tops gives. Basins that touch no
+    a basin without a top joins, whole, the neighbour over its highest pass, again
+    and again. With a top on every peak that is what flooding from the tops gives;
+    beside basins without a top flooding may draw the border elsewhere. Basins that touch no
     other stay out if they have no top. Of several tops in a basin the highest counts, of equal ones the last.
     """
     from pyspark.sql import Window

@@ -120,9 +120,13 @@ class _Rows:
         self.level = np.arcsinh(np.nan_to_num(x, nan=0.0, posinf=1e300, neginf=-1e300) / scale[:, None])
         self.score = units.prior[self.field].copy()
         self.score[self.field == len(units.fields)] = 0.0
-        stated = table.column("stated_unit").to_pylist()
-        index = {f: {c: j for j, c in enumerate(cs)} for f, cs in units.codes.items()}
-        own = np.fromiter((-1 if s is None or f == len(units.fields) else index[units.fields[f]].get(s, -1) for s, f in zip(stated, self.field, strict=True)), int, len(stated))
+        stated = table.column("stated_unit").combine_chunks().dictionary_encode()
+        index = np.full((len(units.fields) + 1, len(stated.dictionary) + 1), -1)
+        for j, code in enumerate(stated.dictionary.to_pylist()):
+            for i, f in enumerate(units.fields):
+                if code in units.codes[f]:
+                    index[i, j] = units.codes[f].index(code)
+        own = index[self.field, stated.indices.fill_null(len(stated.dictionary)).to_numpy(zero_copy_only=False)]
         sure = np.flatnonzero(own >= 0)
         self.score[sure] = NEVER
         self.score[sure, own[sure]] = 0.0
@@ -207,15 +211,17 @@ def normalise_units(observations: DataFrame, units: DataFrame, rows_a_partition:
         state = np.round(total - total.max(axis=1, keepdims=True), 5).argmax(axis=1)
         rows = np.arange(len(state))
         covered = (r.field < len(known.fields)) & (known.prior[r.field, state] > NEVER)
-        names = np.array([[*c, *[None] * (k - len(c))] for c in (known.codes[f] for f in known.fields)] + [[None] * k], dtype=object)
+        names = pa.array([x for f in known.fields for x in (*known.codes[f], *[None] * (k - len(known.codes[f])))] + [None] * k, pa.string())
+        covers = pa.array(covered)
+        none = pa.scalar(None, pa.string())
         stated = table.column("stated_unit").combine_chunks()
-        code = np.where(covered, names[r.field, state], None)
-        basis = table.column("basis").combine_chunks()
+        code = pa.compute.if_else(covers, names.take(pa.array(r.field * k + state)), none)
+        basis = pa.compute.if_else(pa.compute.is_valid(stated), table.column("basis").combine_chunks(), pa.compute.if_else(covers, pa.scalar("decoded"), none))
         return pa.Table.from_arrays(
             [
                 *(table.column(c).combine_chunks() for c in ("obs_id", "station_id", "field", "value")),
-                pa.compute.if_else(pa.compute.is_valid(stated), basis, pa.array(np.where(covered, "decoded", None), pa.string())),
-                pa.array(code, pa.string()),
+                basis,
+                code,
                 pa.array(np.where(covered, r.common[rows, state], 0.0), mask=~covered),
             ],
             schema=_NOTHING.schema,
