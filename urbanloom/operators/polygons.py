@@ -24,18 +24,18 @@ def _tile(c: Column, size: float) -> Column:
 
 
 #: Boxes are laid on tiles of the level whose size is next above theirs, so each meets at most four; so many levels at most.
-LEVELS = 24
+LEVELS, STEP = 12, 4.0
 
 
 def _level(width: Column, height: Column, tile: float) -> Column:
-    """The level of a box: tiles of level k are tile * 2 ** k wide."""
-    return F.least(F.greatest(F.ceil(F.log2(F.greatest(width, height, F.lit(tile)) / tile)), F.lit(0)), F.lit(LEVELS)).cast("int")
+    """The level of a box: tiles of level k are tile * STEP ** k wide."""
+    return F.least(F.greatest(F.ceil(F.log(STEP, F.greatest(width, height, F.lit(tile)) / tile)), F.lit(0)), F.lit(LEVELS)).cast("int")
 
 
 def _spread(boxes: DataFrame, tile: float) -> tuple[DataFrame, list[int]]:
     """`boxes` once per tile (level, tx, ty) that they meet, and the levels in use (LEVELS + 1 numbers at most)."""
     held = boxes.withColumn("level", _level(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), tile))
-    size = F.lit(tile) * F.pow(F.lit(2.0), "level")
+    size = F.lit(tile) * F.pow(F.lit(STEP), "level")
     at = lambda c: F.floor(F.col(c) / size).cast("bigint")
     spread = held.withColumn("tx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("ty", F.explode(F.sequence(at("ymin"), at("ymax"))))
     return spread, sorted(r[0] for r in held.select("level").distinct().collect() if r[0] is not None)
@@ -43,7 +43,7 @@ def _spread(boxes: DataFrame, tile: float) -> tuple[DataFrame, list[int]]:
 
 def _on_levels(df: DataFrame, x: Column, y: Column, levels: list[int], tile: float) -> DataFrame:
     """`df` once per level with the tile that holds the place."""
-    each = [F.struct(F.lit(k).alias("level"), _tile(x, tile * 2.0**k).alias("tx"), _tile(y, tile * 2.0**k).alias("ty")) for k in levels]
+    each = [F.struct(F.lit(k).alias("level"), _tile(x, tile * STEP**k).alias("tx"), _tile(y, tile * STEP**k).alias("ty")) for k in levels]
     return df.select("*", F.inline(F.array(*each))) if each else df.select("*", F.lit(0).alias("level"), _tile(x, tile).alias("tx"), _tile(y, tile).alias("ty"))
 
 
@@ -71,7 +71,7 @@ def boxes_within(boxes: DataFrame, key: str, distance: float, tile: float = 4 *
     spread, levels = _spread(grown, tile)
     ask = grown.withColumn("own", _level(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), tile))
     ask = ask.withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels)) if levels else F.array(F.lit(0)))).where("level >= own")
-    size = F.lit(tile) * F.pow(F.lit(2.0), "level")
+    size = F.lit(tile) * F.pow(F.lit(STEP), "level")
     at = lambda c: F.floor(F.col(c) / size).cast("bigint")
     ask = ask.withColumn("tx", F.explode(F.sequence(at("xmin"), at("xmax")))).withColumn("ty", F.explode(F.sequence(at("ymin"), at("ymax"))))
     left, right = ask.alias("l"), spread.alias("r")
@@ -101,8 +101,8 @@ def building_heights(buildings: DataFrame, roof_points: DataFrame, ground: DataF
     roofs.neighbour_outliers names are left out.
     """
     inside = points_in_polygons(roof_points.where("z IS NOT NULL AND NOT isnan(z) AND coalesce(classification NOT IN (2, 9), true)"), buildings, "building_id")
+    inside = written(inside.select("building_id", *(F.col(c).cast("double").alias(c) for c in "xyz")), "roofs")  # read twice
     if outliers is not None:
-        inside = written(inside.select("building_id", *(F.col(c).cast("double").alias(c) for c in "xyz")), "roofs")
         inside = inside.join(neighbour_outliers(inside, "building_id", *outliers), ["building_id", "x", "y", "z"], "left_anti")
     roof = exact_percentiles(inside, ["building_id"], "z", {"roof": percentile})
     held = buildings.select("building_id").join(ground.select("building_id", F.col("ground").alias("ground_height")), "building_id", "left").join(roof, "building_id", "left")

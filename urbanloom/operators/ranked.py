@@ -26,7 +26,7 @@ def same(left: list[str], right: list[str]) -> list[Column]:
 
 def bucket_ranks(counts: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
     """keys, n (rows of the group), and per name p: p_low and p_high, the two order statistics of linear
-    interpolation, each a struct of bucket and place (how many rows of the bucket come before it), and p_part.
+    interpolation, each a struct of bucket, place (how many rows of the bucket come before it) and rows (of the bucket), and p_part.
 
     `counts` has keys, bucket and n."""
     own = Window.partitionBy(*keys)
@@ -36,7 +36,7 @@ def bucket_ranks(counts: DataFrame, keys: list[str], at: dict[str, float]) -> Da
         rank = F.lit(float(share)) * (F.col("_all") - 1)
         for side, r in (("low", F.floor(rank)), ("high", F.ceil(rank))):
             hit = (before <= r) & (r < F.col("_upto"))
-            out.append(F.max(F.when(hit, F.struct("bucket", (r - before).alias("place")))).alias(f"{name}_{side}"))
+            out.append(F.max(F.when(hit, F.struct("bucket", (r - before).alias("place"), F.col("n").alias("rows")))).alias(f"{name}_{side}"))
         out.append(F.first(rank - F.floor(rank)).alias(f"{name}_part"))
     return held.groupBy(*keys).agg(*out)
 
@@ -90,12 +90,18 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, at: dict[str
     counts = held.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
     slot = lambda bucket: F.concat_ws("|", F.to_json(F.struct(*keys)), bucket.cast("string"))
     ranked = written(bucket_ranks(counts, keys, at), "ranks")
-    wanted = ranked.select(*keys, *(f"{n}_part" for n in at), F.inline(F.array(*(F.struct(F.lit(f"{n}_{x}").alias("what"), F.col(f"{n}_{x}.bucket").alias("bucket"), F.col(f"{n}_{x}.place").alias("place")) for n in at for x in ("low", "high")))))
+    wanted = ranked.select(*keys, *(f"{n}_part" for n in at), F.inline(F.array(*(F.struct(F.lit(f"{n}_{x}").alias("what"), F.col(f"{n}_{x}.bucket").alias("bucket"), F.col(f"{n}_{x}.place").alias("place"), F.col(f"{n}_{x}.rows").alias("_rows")) for n in at for x in ("low", "high")))))
     wanted = wanted.withColumn("slot", slot(F.col("bucket")))
     chosen = wanted.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("bucket").alias("_b"), "slot").distinct()
     theirs = [*keys, "bucket"]
     inside = held.join(chosen, same(theirs, [*(f"_k{i}" for i in range(len(keys))), "_b"])).groupBy("slot", F.col("_v").alias("value")).agg(F.count("*").alias("n"))
-    found = values_at(written(inside, "slots"), wanted.select("slot", "place"), sort_rows)
+    # no bucket has more values than rows, and those are counted already
+    asked = wanted.select("slot", "place")
+    small = (ranked.agg(*(F.max(f"{n}_{x}.rows") for n in at for x in ("low", "high"))).first() if at else ()) or ()
+    if all(r is None or r <= sort_rows for r in small):
+        found = _sorted(inside, asked.select("slot", "place", F.col("slot").alias("_slot"), F.col("place").alias("_place")).distinct())
+    else:
+        found = values_at(written(inside, "slots"), asked, sort_rows)
     ends = wanted.join(found, ["slot", "place"]).groupBy(*keys).agg(*(F.max(F.when(F.col("what") == f"{n}_{x}", F.col("value"))).alias(f"_{n}_{x}") for n in at for x in ("low", "high")), *(F.first(f"{n}_part").alias(f"{n}_part") for n in at))
     return ends.select(*keys, *(between(F.col(f"_{n}_low"), F.col(f"_{n}_high"), F.col(f"{n}_part")).alias(n) for n in at))
 
