@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from urbanloom.functions import overlay as ov
 from urbanloom.functions import planar
 from urbanloom.operators import footprints as fp
+from urbanloom.operators import rasters, trees
 
 
 def _square(x, y, size):
@@ -53,3 +54,13 @@ def test_merging_in_batches_and_broken_rows(spark):
     odd = df.where("id >= 40").select("id", fp.cleaned(F.col("polygon")).alias("p"), ov.measured(F.col("polygon"), ov.clearance).alias("c")).collect()
     assert all(r.p.shell is None and r.c is None for r in odd)
     assert fp.polygons_within(df.limit(0), "id", 1.0).count() == 0
+
+
+def test_crowns_with_holes_of_different_shapes(spark):
+    holes = {(1, 1), (1, 4), (2, 4), (2, 5)}  # one of 4 corners, one of 6
+    cells = [(r, c, 7) for r in range(5) for c in range(8) if (r, c) not in holes]
+    segmented = spark.createDataFrame(cells, "row int, col int, top bigint")
+    held = trees.crown_polygons(segmented, rasters.Grid(100.0, 200.0, 10.0, 5, 8), tolerance=0.0)
+    got = held.select("top", "part", F.transform("polygon.holes", F.size).alias("corners"), ov.measured(F.col("polygon"), ov.polygon_area).alias("area")).collect()
+    assert [(r.top, r.part, sorted(r.corners), round(r.area, 6)) for r in got] == [(7, 0, [4, 6], 100.0 * len(cells))]
+    assert held.select(F.size(planar.meshed(F.col("polygon")))).first()[0] > 0
