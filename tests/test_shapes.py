@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from urbanloom.functions import geometry as geo
 from urbanloom.functions import surfaces as sf
 from urbanloom.operators import footprints as fp
-from urbanloom.operators import meshes, polygons, rasters, trees
+from urbanloom.operators import cells, meshes, polygons, rasters, trees
+from urbanloom.plans.city import City
 
 XYZ = "array<struct<x:double,y:double,z:double>>"
 
@@ -110,3 +111,28 @@ def test_facets_and_smoothing(spark):
     faces = spark.createDataFrame([(0, 0, 1, 2)], "fid bigint, v0 bigint, v1 bigint, v2 bigint")
     smooth = {r.vid: (r.x, r.y, r.z) for r in meshes.smooth_mesh(vertices, faces, z_only=True).collect()}
     assert smooth == {0: (0, 0, 4.5), 1: (1, 0, 3), 2: (0, 1, 1.5), 9: (5, 5, 5)}
+
+
+def test_volume_mesh_works_out_the_terrain_once(spark):
+    rng = np.random.default_rng(6)
+    grid = rasters.Grid(0.0, 60.0, 10.0, 6, 7)
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def read(z):
+        reads.add(1)
+        return z
+
+    flat = spark.createDataFrame([(r, c, float(rng.uniform(0, 5))) for r in range(6) for c in range(7)], "row int, col int, value double")
+    boxes = {"a": (8.0, 8.0, 37.0, 26.0, 30.0), "b": (40.0, 30.0, 70.0, 60.0, 4.0)}
+    corner = lambda x, y: {"x": x, "y": y}
+    blocks = spark.createDataFrame([(k, [corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)], 0.0, h) for k, (x0, y0, x1, y1, h) in boxes.items()], "building_id string, ring array<struct<x:double,y:double>>, ground_height double, height double")
+    held = City(buildings=blocks).with_terrain(flat.select("row", "col", read("value").alias("value")), grid)
+    lifted, tets = held.volume_mesh(20.0, 3)
+    got = {r.cid: (r.v0, r.v1, r.v2, r.v3) for r in tets.collect()}
+    at = {r.vid: np.array([r.x, r.y, r.z]) for r in lifted.collect()}
+    assert reads.value == 42
+    every = {r.cid: (r.v0, r.v1, r.v2, r.v3) for r in meshes.layers(cells.grid_triangles(6, 7, flat), 3, 42).collect()}
+    centre = {k: sum(at[v] for v in t) / 4 for k, t in every.items()}
+    within = {k for k, (x, y, z) in centre.items() if any(x0 <= x < x1 and y0 <= y < y1 and z < h for x0, y0, x1, y1, h in boxes.values())}
+    assert len(every) == 540 and 0 < len(within) < 270 and got == {k: t for k, t in every.items() if k not in within}
