@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from urbanloom.functions import geometry as geo
 from urbanloom.functions import overlay as ov
 from urbanloom.functions import planar
 from urbanloom.operators import footprints as fp
@@ -64,3 +65,11 @@ def test_crowns_with_holes_of_different_shapes(spark):
     got = held.select("top", "part", F.transform("polygon.holes", F.size).alias("corners"), ov.measured(F.col("polygon"), ov.polygon_area).alias("area")).collect()
     assert [(r.top, r.part, sorted(r.corners), round(r.area, 6)) for r in got] == [(7, 0, [4, 6], 100.0 * len(cells))]
     assert held.select(F.size(planar.meshed(F.col("polygon")))).first()[0] > 0
+
+
+def test_merged_boxes_around_holes_of_different_shapes(spark):
+    frame = [(0, 0, 80, 10), (0, 40, 80, 50), (0, 0, 10, 50), (70, 0, 80, 50), (30, 0, 40, 50), (55, 5, 75, 20)]  # holes of 4 and 6 corners
+    held = spark.createDataFrame([(k, *map(float, b)) for k, b in enumerate(frame)], "id bigint, xmin double, ymin double, xmax double, ymax double")
+    held = held.select("id", ov.as_polygon(geo.ring_of((F.col("xmin"), F.col("ymin")), (F.col("xmax"), F.col("ymin")), (F.col("xmax"), F.col("ymax")), (F.col("xmin"), F.col("ymax")))).alias("polygon"))
+    got = fp.merged(held, "id", fp.merge_groups(held, "id", 0.0), 0.0).select("component", "members", F.transform("polygon.holes", F.size).alias("corners"), ov.measured(F.col("polygon"), ov.polygon_area).alias("area")).collect()
+    assert [(r.component, r.members, sorted(r.corners), round(r.area, 6)) for r in got] == [(0, 6, [4, 6], 80 * 50 - 20 * 30 - 30 * 30 + 15 * 10)]
