@@ -7,6 +7,7 @@ from urbanloom.functions import overlay as ov
 from urbanloom.functions import planar
 from urbanloom.operators import footprints as fp
 from urbanloom.operators import rasters, trees
+from urbanloom.queries import shapes
 
 
 def _square(x, y, size):
@@ -73,3 +74,15 @@ def test_merged_boxes_around_holes_of_different_shapes(spark):
     held = held.select("id", ov.as_polygon(geo.ring_of((F.col("xmin"), F.col("ymin")), (F.col("xmax"), F.col("ymin")), (F.col("xmax"), F.col("ymax")), (F.col("xmin"), F.col("ymax")))).alias("polygon"))
     got = fp.merged(held, "id", fp.merge_groups(held, "id", 0.0), 0.0).select("component", "members", F.transform("polygon.holes", F.size).alias("corners"), ov.measured(F.col("polygon"), ov.polygon_area).alias("area")).collect()
     assert [(r.component, r.members, sorted(r.corners), round(r.area, 6)) for r in got] == [(0, 6, [4, 6], 80 * 50 - 20 * 30 - 30 * 30 + 15 * 10)]
+
+
+def test_query_merges_boxes_around_holes_and_those_that_touch(spark, tmp_path):
+    frame = [(0, 0, 80, 10), (0, 40, 80, 50), (0, 0, 10, 50), (70, 0, 80, 50), (30, 0, 40, 50), (55, 5, 75, 20)]  # holes of 4 and 6 corners
+    side = [(250854.75, 6402179.93, 250919.17, 6402187.44), (250919.17, 6402173.38, 250981.32, 6402208.42)]  # corners within a side, whose place along it is rounded
+    a, b = ([np.array([(x, y), (u, y), (u, v), (x, v)])] for x, y, u, v in side)
+    assert ov.gap(a, b) == ov.gap(b, a) == 0 and ov.gap(a, [a[0] + (0, 7.52)]) > 0.009
+    assert ov.gap([_square(0, 0, 2)], [_square(2, 2, 2)]) == 0 and ov.gap([_square(0, 0, 2)], [_square(5, 0, 2)]) == 3  # a corner; edges on one line
+    rows = [(f"{name}{k}", *map(float, box), None, None) for name, boxes in (("f", frame), ("s", side)) for k, box in enumerate(boxes)]
+    spark.createDataFrame(rows, "bounds_id string, xmin double, ymin double, xmax double, ymax double, zmin double, zmax double").write.parquet(str(tmp_path / "survey_bounds.parquet"))
+    got = shapes.QUERIES["polygon_merged"](spark, str(tmp_path)).orderBy("component").collect()
+    assert [tuple(r) for r in got] == [("f0", 6, 2650.0), ("s0", 2, 2661.5)]
